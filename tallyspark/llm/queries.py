@@ -5,19 +5,151 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.fingerprints import edited_fingerprints, fingerprint, likeness
 from tallyspark.llm.jaccard_join import jaccard_join
+from tallyspark.llm.language_id import identify
+from tallyspark.llm.license_scan import scan
+from tallyspark.llm.lm_scoring import score_texts
+from tallyspark.llm.mixing import mix
+from tallyspark.llm.packing import pack
+from tallyspark.llm.sharding import shard_rows
+from tallyspark.llm.topk import exact_topk
+from tallyspark.llm.url_filter import BAD_SHARE, BOUND_Z, PRIOR_WEIGHT, RULES, url_filter
 
+#: Id that closes each packed document.
+END_ID = 2
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def tokenizer_path() -> str:
+    """The public tokenizer whose ids are packed and scored."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens, a row per piece."""
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention model and unigram scores of all documents."""
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents; a document's path is its source, then its id by thousands."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), folder, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.regexp_extract("path", r"/(-?[0-9]+)\.txt$", 1)
+    return found.select(F.when(doc_id != "", doc_id.cast("long")).alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "inherited_from")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls; labels of the id that a page has are its outcomes (bad: low quality or toxic)."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    judged = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents."""
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents, with weights 1, 2, 3 in turn, takes from each."""
+    docs = table(spark, sf_dir, "documents")
+    rows, sources, spans = mix(docs.select("doc_id", "source", "text"), lambda i, _: 1.0 + i % 3)
+    taken = spans.groupBy("row").agg(F.sum("words").alias("taken"))
+    out = rows.join(taken, "row", "left").join(F.broadcast(sources.select("s", "source_size", "target")), "s")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows by inner product for every row whose id is divisible by 50."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with their likeness."""
+    rows = edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on a ring of 24 shards whose counts of rows are at most one apart."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), F.xxhash64("text").alias("text_key"))
+    out = shard_rows(rows, F.col("text_key"), ["doc_id", "text_key"], shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    members, _ = jaccard_join(documents(spark, sf_dir).select("doc_id", "text"))
+    members, _ = jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     least = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join)}
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+
+ORACLES = {
+    "op4_url_filter": f"""
+WITH p AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+o AS (SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels l ON l.doc_id = p.page_id
+      WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL),
+h AS (SELECT host, count(*) AS n, sum(bad) AS bad, regexp_extract(host, '([^.]+\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM o GROUP BY host),
+a AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p_all FROM h),
+s AS (SELECT suffix, (sum(bad) + {PRIOR_WEIGHT} * max(p_all)) / (sum(n) + {PRIOR_WEIGHT}) AS p_suffix FROM h, a GROUP BY suffix),
+d AS (SELECT domain, (sum(bad) + {PRIOR_WEIGHT} * max(p_suffix)) / (sum(n) + {PRIOR_WEIGHT}) AS p_domain FROM h JOIN s USING (suffix) GROUP BY domain),
+m AS (SELECT host, n, (bad + {PRIOR_WEIGHT} * p_domain) / (n + {PRIOR_WEIGHT}) AS mean FROM h JOIN d USING (domain)),
+b AS (SELECT host, mean - {BOUND_Z} * sqrt(mean * (1 - mean) / (n + {PRIOR_WEIGHT} + 1)) AS low FROM m),
+r AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(verdict, h, path)),
+f AS (SELECT page_id, p.url, max(struct_pack(l := length(r.h || r.path), rule := r.h || r.path, verdict := r.verdict)) AS best
+      FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.path) GROUP BY page_id, p.url)
+SELECT p.page_id, p.host, p.path, f.best.rule AS rule,
+       coalesce(f.best.verdict, CASE WHEN b.low > {BAD_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.url = p.url LEFT JOIN b ON b.host = p.host
+""",
+    "op7_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4]) END) AS g FROM w),
+n AS (SELECT w.doc_id, count(s.g) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+t AS (SELECT doc_id, hash(g) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n_shingles + b.n_shingles - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS reached FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT n.doc_id, n.n_shingles, coalesce(min(r.reached), n.doc_id) AS component_id FROM n LEFT JOIN r USING (doc_id) GROUP BY n.doc_id, n.n_shingles
+""",
+}
