@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 #: Waiting examples of a task, and words whose ids a worker remembers.
 WAITING = 128
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
 
+#: Stands between words that are encoded together.
+_MARK = "\x01"
+_CLOSERS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 _ids: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -43,12 +47,26 @@ def token_bytes(texts: list[str | None], tokenizer_path: str) -> list[bytes]:
         _ids.clear()
     if len(_ids) > REMEMBERED_WORDS:
         _ids.clear()
-    words = [(t or "").encode("utf-8").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in _ids})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-            _ids[w] = np.array(e.ids, "<u4").tobytes()
+    # The tokenizer lower-cases; only its special tokens tell capitals apart.
+    words = [(b if b"<|" in b else b.lower()).split() for b in (t.encode("utf-8") if t else b"" for t in texts)]
+    new = {w for w in set(chain.from_iterable(words)) if w not in _ids}
+    # A mark of punctuation after a letter or digit is a token of its own: such words share their stems' ids.
+    closed = [w for w in new if w[-1:] in _CLOSERS and w[-2:-1].isalnum() and b"<|" not in w]
+    new = list(new.difference(closed).union(x for w in closed for x in (w[:-1], w[-1:]) if x not in _ids))
+    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+    plain = [w for w in new if b"<|" not in w and _MARK.encode() not in w] if len(mark) == 1 else []
+    for i in range(0, len(plain), 4096):  # many words in one call, told apart by a mark that is one id
+        some = plain[i : i + 4096]
+        ids = np.array(tokenizer.encode(f" {_MARK} ".join(w.decode("utf-8") for w in some), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == mark[0]).tolist()
+        data = ids.tobytes()
+        for w, a, b in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True):
+            _ids[w] = data[4 * a : 4 * b]
+    for w in new:
+        if w not in _ids:
+            _ids[w] = np.array(tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+    for w in closed:
+        _ids[w] = _ids[w[:-1]] + _ids[w[-1:]]
     return [b"".join(map(_ids.__getitem__, ws)) for ws in words]
 
 
