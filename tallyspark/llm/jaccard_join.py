@@ -15,22 +15,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import materialize, semi_join_sized
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.hashing import set_key, shingle_sets, sub_batches
 
-#: Tokens remembered as frequent; they only steer the token order, never the result.
+#: Tokens known as frequent before the lists are built; they steer the token order, never the result.
 FREQUENT_TOKENS = 1 << 18
+#: Tokens whose hashes lie below this share of all hashes come first in the token order, rarest first.
+RANKED_SHARE = 0.3
+_RANKED = np.uint64(int(RANKED_SHARE * 2**64))
+#: Rounds in which families of near copies are gathered around pivots before lists are paired.
+PIVOT_ROUNDS = 2
 #: Tokens counted together inside a task, and entries of one slice of the inverted lists.
 COUNTED_TOGETHER = 1 << 22
 SLICE_ENTRIES = 150_000
 #: Pairs of one pivot that are verified in one task.
 PAIRS_TOGETHER = 64
 
-_SET_SCHEMA = "doc_id long, text_key long, n_shingles long, set_id long, token long, seen long"
+_SET_SCHEMA = "doc_id long, text_key long, n_shingles long, n_ranked long, set_id long, token long, seen long"
 
 
 def _sets(width: int):
@@ -38,20 +43,20 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_ranked", pa.int64()), ("set_id", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
 
         def frequent() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
             tokens, seen = tokens[seen >= 3].view(np.int64), seen[seen >= 3]
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens), pa.array(seen)], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(tokens), pa.array(seen)], schema=schema)
 
         for whole in batches:
             for batch in sub_batches(whole, "text"):
                 sets = shingle_sets(batch.column("text"), width)
                 keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), keys, none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, _RANKED)) for s in sets], pa.int64()), keys, none, none], schema=schema)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= COUNTED_TOGETHER:
@@ -63,23 +68,25 @@ def _sets(width: int):
     return run
 
 
+_ENTRY = np.dtype([("token", "<u8"), ("set_id", "<i8"), ("key", "<i4")])
+
+
 def _entries(width: int, percent: int, slices: int, frequent):
-    """Packed prefix entries per slice of the token space; frequent tokens go apart, salted.
+    """Packed entries per slice of the token space; tokens known as frequent go apart, salted.
 
-    A set's tokens are ordered by (known frequency, hash). Of a set of n tokens the first
-    n - ceil(n * percent / 100) + 1 are its prefix: two sets over the threshold share a prefix token.
+    The token order: tokens with small hashes (RANKED_SHARE of all) by (number of sets, hash), then the
+    others by hash. A set of n tokens needs the first n - ceil(n * percent / 100) + 1 of that order, so
+    its ranked tokens, and more by hash if these are fewer, are sent. key is the number of sets of a
+    token known as frequent, 0 for what the lists will count, and -1 - position of an unranked token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
         parts, size, done = [], 0, set()
-        kind = np.dtype([("token", "<u8"), ("set_id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
         def packed(salt: int) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(parts)
-            at = np.searchsorted(tokens, rows["token"])
-            known = tokens[np.minimum(at, len(tokens) - 1)] == rows["token"] if len(tokens) else np.zeros(len(rows), bool)
-            for some, group in ((rows[~known], -1), (rows[known], salt % 64)):
+            for some, group in ((rows[rows["key"] <= 0], -1), (rows[rows["key"] > 0], salt % 64)):
                 where = (some["token"] % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 where, some = where[order], some[order]
@@ -94,13 +101,14 @@ def _entries(width: int, percent: int, slices: int, frequent):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
                     done.add(key)  # the lists of one task hold a set once
-                    n = len(s)
+                    ranked = int(np.searchsorted(s, _RANKED))
+                    p = max(ranked, _prefix(len(s), percent))
+                    rows = np.empty(p, _ENTRY)
+                    rows["token"], rows["set_id"], rows["key"] = s[:p], key, 0
                     if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        s = s[np.lexsort((s, np.where(tokens[at] == s, counts[at], 0)))]
-                    p = n - (n * percent + 99) // 100 + 1
-                    rows = np.empty(p, kind)
-                    rows["token"], rows["set_id"], rows["n"], rows["pos"] = s[:p], key, n, np.arange(p)
+                        at = np.minimum(np.searchsorted(tokens, s[:ranked]), len(tokens) - 1)
+                        rows["key"][:ranked] = np.where(tokens[at] == s[:ranked], counts[at], 0)
+                    rows["key"][ranked:] = -1 - np.arange(ranked, p)
                     parts.append(rows)
                     size += p
                 if size >= 500_000:
@@ -112,16 +120,21 @@ def _entries(width: int, percent: int, slices: int, frequent):
     return run
 
 
+def _prefix(n: int, percent: int) -> int:
+    return n - (n * percent + 99) // 100 + 1
+
+
 def _shared(slice_rows: pd.DataFrame) -> pd.DataFrame:
-    """Entries of one slice whose token at least two sets hold (salted groups hold frequent tokens: all)."""
-    kind = np.dtype([("token", "<u8"), ("set_id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
-    rows = np.frombuffer(b"".join(slice_rows["entries"]), kind)
-    rows = rows[np.argsort(rows["token"], kind="stable")]
+    """Entries of one slice whose token at least two sets hold, with that number as key; salted groups as they are."""
+    rows = np.unique(np.frombuffer(b"".join(slice_rows["entries"]), _ENTRY))
     if slice_rows["salt"].iloc[0] < 0:
-        same = rows["token"][1:] == rows["token"][:-1]
-        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    out = pd.DataFrame({"token": rows["token"].view("<i8"), "set_id": rows["set_id"], "n": rows["n"].astype("int64"), "pos": rows["pos"].astype("int64")})
-    return out.drop_duplicates(["token", "set_id"])
+        first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
+        n = np.diff(np.concatenate([first, [len(rows)]]))
+        many = np.repeat(n, n)
+        rows = rows.copy()
+        rows["key"] = np.where(rows["key"] < 0, rows["key"], many)
+        rows = rows[many > 1]
+    return pd.DataFrame({"token": rows["token"].astype("<u8").view("<i8"), "set_id": rows["set_id"], "key": rows["key"].astype("int64")})
 
 
 def _can_link(percent: int):
@@ -164,6 +177,69 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return materialize(met, f"{label}-met")
 
 
+def _positions(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(token, set_id, n, pos, prefix): entries within the prefix of their set, with their place in its order.
+
+    Ranked tokens that only one set holds are not listed; they come first in the order.
+    """
+    sizes = classes.select("set_id", F.col("n_shingles").alias("n"), "n_ranked")
+    entries = entries.join(sizes, "set_id")
+    over = Window.partitionBy("set_id", F.col("key") > 0)
+    place = F.row_number().over(over.orderBy("key", F.shiftrightunsigned("token", 1), "token")) - 1 + F.col("n_ranked") - F.count("*").over(over)
+    entries = entries.withColumn("pos", F.when(F.col("key") > 0, place).otherwise(-1 - F.col("key")).cast("long"))
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    return entries.withColumn("prefix", prefix).where("pos < prefix").select("token", "set_id", "n", "pos", "prefix")
+
+
+def _named(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with each set's component so far, without lists that hold one component."""
+    if labels is None:
+        return lists.withColumn("component", F.col("set_id"))
+    named = lists.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "set_id"))
+    several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return materialize(named.join(several.select("token"), "token", "left_semi"), "named")
+
+
+def _pivot_pairs(named: DataFrame, met: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): for sets b, the pivot a of another component that heads most of b's lists.
+
+    Lists are taken by bands of sizes; the head of a list is its set that shares most tokens with others.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    banded = named.withColumn("band", band)
+    held = banded.groupBy("token", "band").agg(F.count("*").alias("held")).where("held > 1")
+    banded = banded.join(held, ["token", "band"])
+    degree = banded.groupBy("set_id").agg(F.sum("held").alias("degree"))
+    banded = materialize(banded.join(degree, "set_id"), "banded")
+    heads = banded.groupBy("token", "band").agg(F.max(F.struct("degree", "set_id", "n", "pos", "component")).alias("head"))
+    heads = heads.select("token", "band", F.col("head.set_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("component2"))
+    near = banded.join(heads, ["token", "band"]).where((F.col("component") != F.col("component2")) & _can_link(percent))
+    near = near.groupBy("set_id", "a").agg(F.count("*").alias("votes"))
+    if met is not None:
+        near = near.join(met.select("a", F.col("b").alias("set_id")), ["a", "set_id"], "left_anti")
+    return near.groupBy("set_id").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", F.col("set_id").alias("b"))
+
+
+def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of different components whose common prefix tokens can be enough.
+
+    What two sets share beyond their common prefix tokens lies after the prefix of one of them. Each
+    list's main component is paired with the sets of others only, never with itself.
+    """
+    main = named.groupBy("token").agg(F.mode("component", True).alias("main"))
+    named = named.join(main, "token")
+    other = named.where("component != main").select("token", F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("prefix").alias("prefix2"), F.col("component").alias("component2"))
+    cross = named.join(other, "token").where((F.col("component") != F.col("component2")) & _can_link(percent))
+    # A pair of two sets outside the main component is seen from both sides.
+    once = (F.col("component") == F.col("main")) | (F.col("set_id") < F.col("b"))
+    tail = F.greatest(F.col("n") - F.col("prefix"), F.col("n2") - F.col("prefix2"))
+    cross = cross.where(once).groupBy(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
+    cross = cross.agg(F.count("*").alias("shared"), F.first(F.col("n") + F.col("n2")).alias("both"), F.first(tail).alias("tail"))
+    most = F.col("shared") + F.col("tail")
+    return cross.where(100 * most >= percent * (F.col("both") - most)).select("a", "b")
+
+
 def _not_ruled_out(pairs: DataFrame, met: DataFrame, linked: Column, percent: int) -> DataFrame:
     """Pairs (a, b), swapped, without those that the answers of a's pivot rule out.
 
@@ -193,8 +269,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
     rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_sets(width), _SET_SCHEMA), "sets")
-    members = rows.where("n_shingles is not null").select("doc_id", "text_key", "n_shingles", "set_id")
-    classes = materialize(members.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("text_key").alias("text_key")), "classes")
+    members = rows.where("n_shingles is not null").select("doc_id", "text_key", "n_shingles", "n_ranked", "set_id")
+    classes = members.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("n_ranked").alias("n_ranked"), F.min("text_key").alias("text_key"))
+    classes = materialize(classes, "classes")
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
 
     often = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT_TOKENS).toPandas()
@@ -202,35 +279,27 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     often = often.sort_values("token")
     frequent = spark.sparkContext.broadcast((often["token"].to_numpy(np.uint64), often["seen"].to_numpy(np.int64)))
 
-    slices = max(16, int(total * (100 - percent) / 100 / SLICE_ENTRIES))
+    slices = max(16, int(total * max(RANKED_SHARE, 1 - percent / 100) / SLICE_ENTRIES))
     packed = docs.select("text").mapInArrow(_entries(width, percent, slices, frequent), "slice long, salt long, entries binary")
-    lists = packed.groupBy("slice", "salt").applyInPandas(_shared, "token long, set_id long, n long, pos long")
-    lists = materialize(lists, "lists")
+    lists = packed.groupBy("slice", "salt").applyInPandas(_shared, "token long, set_id long, key long").distinct()
+    lists = materialize(_positions(lists, classes, percent), "lists")
 
-    # Families first: per token and size band the first set is a pivot; each set keeps its best pivot.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    banded = lists.withColumn("band", band)
-    heads = banded.groupBy("token", "band").agg(F.min(F.struct("set_id", "n", "pos")).alias("head"), F.count("*").alias("held")).where("held > 1")
-    near = banded.join(heads.select("token", "band", F.col("head.set_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2")), ["token", "band"])
-    near = near.where((F.col("set_id") != F.col("a")) & _can_link(percent)).groupBy("set_id", "a").agg(F.count("*").alias("votes"))
-    best = near.groupBy("set_id").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-    first = _verify(materialize(best.select("a", F.col("set_id").alias("b")), "pairs1"), classes, texts, width, "first")
     linked = (100 * F.col("common")) >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    labels = connected_components(first.where(linked).select("a", "b"))
-
-    # Then lists that still hold several components: pairs across them, unless a pivot's answer rules them out.
-    named = lists.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "set_id"))
-    open_ = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.mode("component", True).alias("main")).where("least < most").select("token", "main")
-    named = materialize(named.join(open_, "token"), "open")
-    other = named.where("component != main").select("token", F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    cross = named.join(other, "token").where((F.col("component") != F.col("component2")) & _can_link(percent))
-    cross = cross.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = links = labels = None
+    for turn in range(PIVOT_ROUNDS):
+        pairs = _pivot_pairs(_named(lists, labels), met, percent)
+        found = _verify(materialize(pairs, "pairs"), classes, texts, width, "met")
+        met = found if met is None else met.unionByName(found)
+        links = met.where(linked)
+        labels = connected_components(links.select("a", "b"))
+
+    # Lists that still hold several components: pairs across them, unless a pivot's answer rules them out.
+    cross = _cross_pairs(_named(lists, labels), percent)
+    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.join(tested, ["a", "b"], "left_anti")
-    cross = _not_ruled_out(_not_ruled_out(cross, first, linked, percent), first, linked, percent)
-    second = _verify(materialize(cross, "pairs2"), classes, texts, width, "second")
-    links = first.where(linked).unionByName(second.where(linked))
+    cross = _not_ruled_out(_not_ruled_out(cross, met, linked, percent), met, linked, percent)
+    found = _verify(materialize(cross, "pairs"), classes, texts, width, "met")
+    links = links.unionByName(found.where(linked))
     labels = connected_components(links.select("a", "b"))
     members = members.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     return members.select("doc_id", "n_shingles", "set_id", "component"), links
