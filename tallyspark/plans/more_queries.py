@@ -239,18 +239,18 @@ _COSTS = """WITH x AS (SELECT l_orderkey, l_quantity AS qty, l_extendedprice / l
 c AS (SELECT l_orderkey, sum(qty) AS filled, sum(qty * price) AS notional, sum(CASE WHEN liquidity = 'taker' THEN qty * price * 0.001 ELSE 0 END) AS fees, sum(CASE WHEN liquidity = 'maker' THEN qty * price * 0.0002 ELSE 0 END) AS rebates, sum(qty * (price - reference)) AS slippage, avg(reference) AS mark FROM x GROUP BY 1)"""
 
 
-@register("k01_execution_costs", f"{_COSTS} SELECT l_orderkey, filled, round(notional, 2) AS notional, round(fees, 2) AS fees, round(rebates, 2) AS rebates, round(slippage, 2) AS slippage, 0::BIGINT AS unknown_liquidity, round(notional / nullif(filled, 0), 2) AS vwap, round(fees - rebates + slippage, 2) AS cost FROM c")
+@register("k01_execution_costs", f"{_COSTS} SELECT l_orderkey, filled, round(notional, 6) AS notional, round(fees, 6) AS fees, round(rebates, 6) AS rebates, round(slippage, 6) AS slippage, 0::BIGINT AS unknown_liquidity, round(notional / nullif(filled, 0), 6) AS vwap, round(fees - rebates + slippage, 6) AS cost FROM c")
 def execution_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Execution costs per order."""
-    return logs.execution_costs(_executions(spark, sf_dir), "l_orderkey", 0.0002, 0.001).withColumns({c: F.round(c, 2) for c in ("notional", "fees", "rebates", "slippage", "vwap", "cost")})
+    return logs.execution_costs(_executions(spark, sf_dir), "l_orderkey", 0.0002, 0.001).withColumns({c: F.round(c, 6) for c in ("notional", "fees", "rebates", "slippage", "vwap", "cost")})
 
 
-@register("k02_mark_to_market", f"{_COSTS} SELECT l_orderkey, round((mark - notional / nullif(filled, 0)) * filled - fees + rebates, 2) AS pnl FROM c")
+@register("k02_mark_to_market", f"{_COSTS} SELECT l_orderkey, round((mark - notional / nullif(filled, 0)) * filled - fees + rebates, 6) AS pnl FROM c")
 def mark_to_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mark-to-market per order."""
     x = _executions(spark, sf_dir)
     marks = x.groupBy("l_orderkey").agg(F.avg("reference").alias("mark"))
-    return logs.mark_to_market(logs.execution_costs(x, "l_orderkey", 0.0002, 0.001), marks, "l_orderkey").withColumn("pnl", F.round("pnl", 2))
+    return logs.mark_to_market(logs.execution_costs(x, "l_orderkey", 0.0002, 0.001), marks, "l_orderkey").withColumn("pnl", F.round("pnl", 6))
 
 
 @register("k03_book_sweep", f"""{with_sql("ev", "book")}, l AS (SELECT seq, value * 2.5 AS qty, i, mid + (i + 1) * 0.01 AS price, value + (i * k) % 7 AS size FROM book, (VALUES (0), (1), (2), (3)) t(i)),
