@@ -26,9 +26,6 @@ from tallyspark.llm.hashing import set_key, shingle_sets, sub_batches
 FREQUENT_TOKENS = 1 << 18
 #: Tokens whose hashes lie below this share of all hashes come first in the token order, rarest first.
 RANKED_SHARE = 0.3
-_RANKED = np.uint64(int(RANKED_SHARE * 2**64))
-#: Rounds in which families of near copies are gathered around pivots before lists are paired.
-PIVOT_ROUNDS = 2
 #: Tokens counted together inside a task, and entries of one slice of the inverted lists.
 COUNTED_TOGETHER = 1 << 22
 SLICE_ENTRIES = 150_000
@@ -56,7 +53,7 @@ def _sets(width: int):
                 sets = shingle_sets(batch.column("text"), width)
                 keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, _RANKED)) for s in sets], pa.int64()), keys, none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ranked(s, RANKED_SHARE) for s in sets], pa.int64()), keys, none, none], schema=schema)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= COUNTED_TOGETHER:
@@ -69,12 +66,15 @@ def _sets(width: int):
 
 
 _ENTRY = np.dtype([("token", "<u8"), ("set_id", "<i8"), ("key", "<i4")])
+#: Entries whose key is 0, without it; tokens are told apart by 48 bits in the lists.
+_SHORT = np.dtype([("low", "<u4"), ("high", "<u2"), ("set_id", "<i8")])
+_TOKEN_BITS = np.uint64(16)
 
 
-def _entries(width: int, percent: int, slices: int, frequent):
+def _entries(width: int, percent: int, slices: int, frequent, share: float):
     """Packed entries per slice of the token space; tokens known as frequent go apart, salted.
 
-    The token order: tokens with small hashes (RANKED_SHARE of all) by (number of sets, hash), then the
+    The token order: tokens with small hashes (share of all) by (number of sets, hash), then the
     others by hash. A set of n tokens needs the first n - ceil(n * percent / 100) + 1 of that order, so
     its ranked tokens, and more by hash if these are fewer, are sent. key is the number of sets of a
     token known as frequent, 0 for what the lists will count, and -1 - position of an unranked token.
@@ -86,10 +86,14 @@ def _entries(width: int, percent: int, slices: int, frequent):
 
         def packed(salt: int) -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(parts)
-            for some, group in ((rows[rows["key"] <= 0], -1), (rows[rows["key"] > 0], salt % 64)):
+            for some, group in ((rows[rows["key"] == 0], -1), (rows[rows["key"] < 0], -2), (rows[rows["key"] > 0], salt % 64)):
                 where = (some["token"] % np.uint64(slices)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 where, some = where[order], some[order]
+                if group == -1:
+                    short = np.empty(len(some), _SHORT)
+                    short["low"], short["high"], short["set_id"] = some["token"] & np.uint64(0xFFFFFFFF), some["token"] >> np.uint64(32), some["set_id"]
+                    some = short
                 cut = np.flatnonzero(np.diff(where)) + 1
                 ids = where[np.concatenate([[0], cut])] if len(where) else where
                 data = [x.tobytes() for x in np.split(some, cut)] if len(where) else []
@@ -101,10 +105,10 @@ def _entries(width: int, percent: int, slices: int, frequent):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
                     done.add(key)  # the lists of one task hold a set once
-                    ranked = int(np.searchsorted(s, _RANKED))
+                    ranked = _ranked(s, share)
                     p = max(ranked, _prefix(len(s), percent))
                     rows = np.empty(p, _ENTRY)
-                    rows["token"], rows["set_id"], rows["key"] = s[:p], key, 0
+                    rows["token"], rows["set_id"], rows["key"] = s[:p] >> _TOKEN_BITS, key, 0
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, s[:ranked]), len(tokens) - 1)
                         rows["key"][:ranked] = np.where(tokens[at] == s[:ranked], counts[at], 0)
@@ -120,26 +124,45 @@ def _entries(width: int, percent: int, slices: int, frequent):
     return run
 
 
+def _ranked(s: np.ndarray, share: float) -> int:
+    """How many of a set's sorted tokens lie below that share of all hashes."""
+    return len(s) if share >= 1 else int(np.searchsorted(s, np.uint64(int(share * 2**64))))
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
 def _shared(slice_rows: pd.DataFrame) -> pd.DataFrame:
-    """Entries of one slice whose token at least two sets hold, with that number as key; salted groups as they are."""
-    rows = np.unique(np.frombuffer(b"".join(slice_rows["entries"]), _ENTRY))
-    if slice_rows["salt"].iloc[0] < 0:
+    """Entries of one slice whose token at least two sets hold, with that number as key.
+
+    Groups of unranked entries (salt -2) keep their key; salted groups of frequent tokens are kept as they are.
+    """
+    salt, data = slice_rows["salt"].iloc[0], b"".join(slice_rows["entries"])
+    if salt == -1:
+        short = np.frombuffer(data, _SHORT)
+        rows = np.zeros(len(short), _ENTRY)
+        rows["token"], rows["set_id"] = (short["high"].astype(np.uint64) << np.uint64(32)) | short["low"], short["set_id"]
+    else:
+        rows = np.frombuffer(data, _ENTRY)
+    rows = np.unique(rows)
+    if salt < 0 and len(rows):
         first = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
         n = np.diff(np.concatenate([first, [len(rows)]]))
         many = np.repeat(n, n)
-        rows = rows.copy()
-        rows["key"] = np.where(rows["key"] < 0, rows["key"], many)
+        if salt == -1:
+            rows["key"] = many
         rows = rows[many > 1]
-    return pd.DataFrame({"token": rows["token"].astype("<u8").view("<i8"), "set_id": rows["set_id"], "key": rows["key"].astype("int64")})
+    return pd.DataFrame({"token": rows["token"].astype("<i8"), "set_id": rows["set_id"], "key": rows["key"].astype("int64")})
+
 
+def _can_link(percent: int, first: bool = False) -> Column:
+    """The position filter: entries (n, pos) and (n2, pos2) of one token can belong to linked sets.
 
-def _can_link(percent: int):
-    """The position filter: entries (n, pos) and (n2, pos2) of one token can belong to linked sets."""
-    most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    With first the token is taken as the first one the two sets share.
+    """
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    most = rest if first else F.least("pos", "pos2") + rest
     return 100 * most >= percent * (F.col("n") + F.col("n2") - most)
 
 
@@ -177,67 +200,61 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return materialize(met, f"{label}-met")
 
 
-def _positions(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, set_id, n, pos, prefix): entries within the prefix of their set, with their place in its order.
+def _lists(docs: DataFrame, classes: DataFrame, width: int, percent: int, frequent, share: float, total: int) -> DataFrame:
+    """(token, set_id, n, pos): the inverted lists over the prefixes of docs' sets (text), of tokens that several hold.
 
-    Ranked tokens that only one set holds are not listed; they come first in the order.
+    pos is an entry's place in its set's order. Ranked tokens that one set holds alone come first and are
+    not listed. total: tokens of all sets. share: see RANKED_SHARE.
     """
-    sizes = classes.select("set_id", F.col("n_shingles").alias("n"), "n_ranked")
-    entries = entries.join(sizes, "set_id")
+    slices = max(16, int(total * max(share, 1 - percent / 100) / SLICE_ENTRIES))
+    packed = docs.select("text").mapInArrow(_entries(width, percent, slices, frequent, share), "slice long, salt long, entries binary")
+    entries = packed.groupBy("slice", "salt").applyInPandas(_shared, "token long, set_id long, key long").distinct()
+    ranked = F.col("n_shingles") if share >= 1 else F.col("n_ranked")
+    entries = entries.join(classes.select("set_id", F.col("n_shingles").alias("n"), ranked.alias("n_ranked")), "set_id")
     over = Window.partitionBy("set_id", F.col("key") > 0)
-    place = F.row_number().over(over.orderBy("key", F.shiftrightunsigned("token", 1), "token")) - 1 + F.col("n_ranked") - F.count("*").over(over)
+    place = F.row_number().over(over.orderBy("key", "token")) - 1 + F.col("n_ranked") - F.count("*").over(over)
     entries = entries.withColumn("pos", F.when(F.col("key") > 0, place).otherwise(-1 - F.col("key")).cast("long"))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    return entries.withColumn("prefix", prefix).where("pos < prefix").select("token", "set_id", "n", "pos", "prefix")
+    return materialize(entries.where(F.col("pos") < prefix).select("token", "set_id", "n", "pos"), "lists")
 
 
-def _named(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """lists with each set's component so far, without lists that hold one component."""
-    if labels is None:
-        return lists.withColumn("component", F.col("set_id"))
     named = lists.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
     several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     return materialize(named.join(several.select("token"), "token", "left_semi"), "named")
 
 
-def _pivot_pairs(named: DataFrame, met: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): for sets b, the pivot a of another component that heads most of b's lists.
+def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for sets b, the pivot a that heads most of b's lists.
 
     Lists are taken by bands of sizes; the head of a list is its set that shares most tokens with others.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    banded = named.withColumn("band", band)
+    banded = lists.withColumn("band", band)
     held = banded.groupBy("token", "band").agg(F.count("*").alias("held")).where("held > 1")
     banded = banded.join(held, ["token", "band"])
     degree = banded.groupBy("set_id").agg(F.sum("held").alias("degree"))
     banded = materialize(banded.join(degree, "set_id"), "banded")
-    heads = banded.groupBy("token", "band").agg(F.max(F.struct("degree", "set_id", "n", "pos", "component")).alias("head"))
-    heads = heads.select("token", "band", F.col("head.set_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"), F.col("head.component").alias("component2"))
-    near = banded.join(heads, ["token", "band"]).where((F.col("component") != F.col("component2")) & _can_link(percent))
+    heads = banded.groupBy("token", "band").agg(F.max(F.struct("degree", "set_id", "n", "pos")).alias("head"))
+    heads = heads.select("token", "band", F.col("head.set_id").alias("a"), F.col("head.n").alias("n2"), F.col("head.pos").alias("pos2"))
+    near = banded.join(heads, ["token", "band"]).where((F.col("set_id") != F.col("a")) & _can_link(percent))
     near = near.groupBy("set_id", "a").agg(F.count("*").alias("votes"))
-    if met is not None:
-        near = near.join(met.select("a", F.col("b").alias("set_id")), ["a", "set_id"], "left_anti")
     return near.groupBy("set_id").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", F.col("set_id").alias("b"))
 
 
 def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of different components whose common prefix tokens can be enough.
+    """(a, b), a < b, of different components that may share a first token in some list.
 
-    What two sets share beyond their common prefix tokens lies after the prefix of one of them. Each
-    list's main component is paired with the sets of others only, never with itself.
+    Each list's main component is paired with the sets of others only, never with itself.
     """
     main = named.groupBy("token").agg(F.mode("component", True).alias("main"))
     named = named.join(main, "token")
-    other = named.where("component != main").select("token", F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("prefix").alias("prefix2"), F.col("component").alias("component2"))
-    cross = named.join(other, "token").where((F.col("component") != F.col("component2")) & _can_link(percent))
-    # A pair of two sets outside the main component is seen from both sides.
+    other = named.where("component != main").select("token", F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
     once = (F.col("component") == F.col("main")) | (F.col("set_id") < F.col("b"))
-    tail = F.greatest(F.col("n") - F.col("prefix"), F.col("n2") - F.col("prefix2"))
-    cross = cross.where(once).groupBy(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
-    cross = cross.agg(F.count("*").alias("shared"), F.first(F.col("n") + F.col("n2")).alias("both"), F.first(tail).alias("tail"))
-    most = F.col("shared") + F.col("tail")
-    return cross.where(100 * most >= percent * (F.col("both") - most)).select("a", "b")
+    cross = named.join(other, "token").where((F.col("component") != F.col("component2")) & once & _can_link(percent, first=True))
+    return cross.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
 
 
 def _not_ruled_out(pairs: DataFrame, met: DataFrame, linked: Column, percent: int) -> DataFrame:
@@ -279,21 +296,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     often = often.sort_values("token")
     frequent = spark.sparkContext.broadcast((often["token"].to_numpy(np.uint64), often["seen"].to_numpy(np.int64)))
 
-    slices = max(16, int(total * max(RANKED_SHARE, 1 - percent / 100) / SLICE_ENTRIES))
-    packed = docs.select("text").mapInArrow(_entries(width, percent, slices, frequent), "slice long, salt long, entries binary")
-    lists = packed.groupBy("slice", "salt").applyInPandas(_shared, "token long, set_id long, key long").distinct()
-    lists = materialize(_positions(lists, classes, percent), "lists")
-
+    lists = _lists(docs, classes, width, percent, frequent, RANKED_SHARE, total)
     linked = (100 * F.col("common")) >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    met = links = labels = None
-    for turn in range(PIVOT_ROUNDS):
-        pairs = _pivot_pairs(_named(lists, labels), met, percent)
-        found = _verify(materialize(pairs, "pairs"), classes, texts, width, "met")
-        met = found if met is None else met.unionByName(found)
-        links = met.where(linked)
-        labels = connected_components(links.select("a", "b"))
-
-    # Lists that still hold several components: pairs across them, unless a pivot's answer rules them out.
+    met = _verify(materialize(_pivot_pairs(lists, percent), "pairs"), classes, texts, width, "met")
+    links = met.where(linked)
+    labels = connected_components(links.select("a", "b"))
+
+    # Sets in lists that hold several components are listed again, all their tokens in exact order of
+    # rarity; their pairs across components are tested, unless a pivot's answer rules them out.
+    rest = materialize(_named(lists, labels).select("set_id").distinct().join(classes, "set_id"), "rest")
+    size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total")).first()
+    again = semi_join_sized(texts, rest.select("text_key"), "text_key", size["n"]).select("text")
+    lists = _lists(again, classes, width, percent, frequent, 1.0, size["total"])
     cross = _cross_pairs(_named(lists, labels), percent)
     tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.join(tested, ["a", "b"], "left_anti")
