@@ -139,3 +139,23 @@ def test_edited_hash_matches(spark):
         t, nxt = texts[i], texts[(i + 1) % len(texts)]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         assert row["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and row["n_chars"] == len(t)
+
+
+def test_lm_scores_do_not_depend_on_what_is_held(spark, monkeypatch):
+    """Words and pairs beyond those held in every task count the same, and every word counted four times is one id."""
+    from tallyspark.llm import lm_scoring as L
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, "qzxv jjkq qzxv"), (None, "qzxv"), (-3, "qzxv unseenqq"), (-5, "qzxv wwqk")], docs.schema))
+    monkeypatch.setattr(L, "classes_of", lambda ids, stream, first, words, seed: (np.concatenate([np.zeros(ids.base, np.int64), np.full(ids.pieces, 60), np.full(ids.pieces, 61), [0]]), np.zeros((1 << 16, 32), np.float32), np.ones((1, 32), np.float32)))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"])
+    run = lambda: sorted(((key(r), round(r["base_score"], 6), round(r["score"], 4)) for r in score_texts(docs, tokenizer_path()).collect()), key=repr)
+    whole = run()
+    monkeypatch.setattr(L, "SAMPLE_WORDS", 2)  # the sample's words are held as well
+    monkeypatch.setattr(L, "STEPS", 0)
+    few = []
+    for words, pairs in ((1 << 18, 1 << 18), (20, 30)):
+        monkeypatch.setattr(L, "HELD_WORDS", words)
+        monkeypatch.setattr(L, "PIECE_PAIRS", pairs)
+        few.append(run())
+    assert few[0] == few[1] and len(whole) == len(few[0])
