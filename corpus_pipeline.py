@@ -26,26 +26,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """COLUMNS of docs with a number for each row, row_key, written down so that it stays; ids may be null or repeated."""
+    return materialize(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), label)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies: the one with the smallest id."""
-    members, _ = jaccard_join(docs.select("doc_id", "text"))
-    first = members.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    alone = members.where("component is null").select("doc_id")
-    keep = first.select("doc_id").unionByName(alone).distinct()
-    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keep one row of each component of near copies: the one with the smallest id (nulls last; of equal ids the smallest text hash).
+
+    Rows are told apart by their place in the table: rows with a null id, or with the id of another
+    row, stay unless their texts are near copies.
+    """
+    docs = numbered(docs, "numbered")
+    members, _ = jaccard_join(docs.select(F.col("row_key").alias("doc_id"), "text"))
+    members = members.where("component is not null").select(F.col("doc_id").alias("row_key"), "component")
+    order = docs.select("row_key", "doc_id", F.xxhash64("text").alias("h"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row_key")
+    first = members.join(order, "row_key").groupBy("component").agg(F.min(rank).alias("first")).select("first.row_key")
+    dropped = members.join(first, "row_key", "left_anti").select("row_key")
+    return docs.join(dropped, "row_key", "left_anti").select(*COLUMNS)
 
 
 def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources with weights 1, 2, 3 in turn: for each pass over a document the words that the mix takes.
 
     A document taken whole keeps its text as it is; of one taken in part the taken words stay, joined by spaces.
+    Ids may be null or repeated.
     """
-    rows, _, spans = mix(docs.select("doc_id", "source", "text"), lambda i, _: 1.0 + i % 3)
+    docs = numbered(docs, "blended")
+    rows, _, spans = mix(docs.select("doc_id", "source", "text", "row_key"), lambda i, _: 1.0 + i % 3)
     runs = spans.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("runs"), F.sum("words").alias("taken"))
-    runs = runs.join(rows.select("row", "doc_id", "size"), "row")
-    whole = runs.select("doc_id", "runs", (F.col("taken") == F.col("size")).alias("whole"))
-    texts = docs.select(*COLUMNS).join(whole, "doc_id")
+    runs = runs.join(rows.select("row", "row_key", "size"), "row")
+    whole = runs.select("row_key", "runs", (F.col("taken") == F.col("size")).alias("whole"))
+    texts = docs.join(whole, "row_key")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, r["start"].cast("int") + 1, r["words"].cast("int")))), " ")
     texts = texts.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(part))

@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Colum
 
     docs: doc_id long, source string, text string (or the column expression size, in words). weight
     gives a source's weight from its index, sources being in code point order with null last.
-    rows: row long (names an input row), doc_id, source, size. sources: source, s int, source_size,
+    rows: row long (names an input row), doc_id, source, size, and row_key if docs has it. sources: source, s int, source_size,
     target. spans: shard, slot, s, pass, block, row, start, words - the words [start, start + words) of
     a row that a slot of the mix holds. A block is used once in each pass, and passes are at most
     ceil(most), so no row gives more than ceil(most) times its size.
@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Colum
     """
     spark = docs.sparkSession
     words = word_count(F.col("text")) if size is None else size
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64("text").alias("tie"))
+    own = [c for c in ("row_key",) if c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64("text").alias("tie"), *own)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     sizes = [r["size"] for r in found]
@@ -141,4 +142,4 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Colum
 
     placed_slots = given.repartition("shard", "s", "first").mapInPandas(slots, "shard long, slot long, s int, pass int, block long")
     spans = placed_slots.join(pieces, ["s", "block"]).select("shard", "slot", "s", "pass", "block", "row", "start", "words")
-    return rows.select("row", "doc_id", "source", "s", "size"), sources, spans
+    return rows.select("row", "doc_id", "source", "s", "size", *own), sources, spans

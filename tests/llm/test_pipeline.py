@@ -28,5 +28,16 @@ def test_stages_take_effect(spark):
     assert d.select("sequence_id").distinct().count() > 0 and d.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_null_and_equal_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[2]), (8, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = materialize(corpus_pipeline.deduplicate(spark, docs, SF), "kept")
+    want = sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
+    mixed = corpus_pipeline.blend(spark, kept, SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in mixed), key=repr) == want
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
