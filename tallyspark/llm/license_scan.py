@@ -35,6 +35,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def spdx(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The templates, and the identifier line of each licence."""
+    return templates + [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in templates)]
+
+
+def cue_windows(text: Column, lengths: list[int]) -> Column:
+    """All runs of so many tokens that hold a token with a cue, over line ends, as texts."""
+
+    def around(t: Column) -> Column:
+        cues = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(CUE), i)), lambda i: i.isNotNull())
+        starts = lambda i: F.flatten(F.array(*[F.transform(F.sequence(F.greatest(i - n + 1, F.lit(0)), i), lambda s, n=n: F.struct(s.alias("s"), F.lit(n).alias("n"))) for n in lengths]))
+        runs = F.array_distinct(F.flatten(F.transform(cues, starts)))
+        return F.transform(runs, lambda r: F.array_join(F.slice(t, r["s"] + 1, r["n"]), " "))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(tokens(text)), around)))
+
+
 def template_idf(files: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """token, idf for the templates' tokens: ln((N + 1) / (df + 1)) + 1 with df counted over all files."""
     words = files.sparkSession.createDataFrame(templates, "licence string, text string").select(F.explode(tokens(F.col("text"))).alias("token")).distinct()
@@ -55,25 +72,38 @@ def _vectors(parts: DataFrame, keys: list[str], idf: DataFrame, n: int) -> DataF
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """path, licence, score, inherited_from for every row of files (path string, text string).
 
-    Lines with a cue word are compared with every template; a file's own licence is the best cosine over
-    its lines, from least on (ties: the first name). A file that LICENCE_FILE names gives its licence to
+    Lines with a cue word, runs of a template's number of words around each cue (over line ends), and
+    whole licence files are compared with every template and with its SPDX line. A template is taken
+    only where its version numbers stand (of an SPDX line, all words). A file's own licence is the
+    best cosine, from least on (ties: the first name). A file that LICENCE_FILE names gives its licence to
     its directory; a file without its own takes that of the nearest ancestor directory, named in
     inherited_from, with a null score. Else licence is null.
 
     Null and empty texts have no own licence; null paths inherit nothing. Rows with an equal path are
     one file: each gets the best of them. An empty table gives no rows. Other columns are ignored.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = spdx(TEMPLATES if templates is None else templates)
     spark = files.sparkSession
     files = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     n = files.count()
     idf = template_idf(files, templates)
-    lines = files.select("path", F.explode(F.filter(F.split("text", r"\n"), lambda x: x.rlike(CUE))).alias("text"))
-    lines = lines.groupBy("path", "text").agg(F.first(F.xxhash64("path", "text")).alias("line"))
-    ours = _vectors(lines, ["path", "line"], idf, n)
-    theirs = _vectors(spark.createDataFrame(templates, "licence string, text string"), ["licence"], idf, n).withColumnRenamed("weight", "template_weight")
-    scores = ours.join(F.broadcast(theirs), "token").groupBy("path", "line", "licence").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("score"))
-    best = scores.where(F.round("score", 9) >= least).groupBy("path").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("score"))
+    known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, text string")
+    need = F.when(F.col("text").startswith("SPDX-"), tokens(F.col("text"))).otherwise(F.filter(tokens(F.col("text")), lambda x: x.rlike("^[0-9]")))
+    known = known.withColumn("need", F.array_distinct(need))
+    lengths = sorted({r["n"] for r in known.select(F.size(tokens(F.col("text"))).alias("n")).collect()})
+    lines = F.filter(F.split("text", r"\n"), lambda x: x.rlike(CUE))
+    whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
+    parts = files.where(F.col("path").isNotNull() & (F.col("text").rlike(CUE) | F.col("path").rlike(LICENCE_FILE)))
+    parts = parts.select("path", F.explode(F.array_distinct(F.concat(lines, cue_windows(F.col("text"), lengths), whole))).alias("text"))
+    parts = parts.withColumn("line", F.xxhash64("text"))
+    texts = parts.groupBy("line").agg(F.first("text").alias("text"))
+    ours = _vectors(texts, ["line"], idf, n)
+    theirs = _vectors(known, ["template"], idf, n).withColumnRenamed("weight", "template_weight").join(known.select("template", "licence", "need"), "template")
+    scores = ours.join(F.broadcast(theirs), "token").groupBy("line", "template", "licence", "need").agg(F.sum(F.col("weight") * F.col("template_weight")).alias("score"), F.collect_set("token").alias("has"))
+    scores = scores.where((F.round("score", 9) >= least) & (F.size(F.array_except("need", "has")) == 0))
+    pick = F.min(F.struct((-F.round("score", 9)).alias("s"), "licence")).alias("b")
+    found = scores.groupBy("line").agg(pick).select("line", "b")
+    best = parts.select("path", "line").join(found, "line").groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("score"))
     paths = files.select("path").join(best, "path", "left")
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise("")
     paths = paths.withColumn("folder", folder)

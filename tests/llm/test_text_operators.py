@@ -132,6 +132,13 @@ def test_licences(spark):
     assert scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_in_windows(spark):
+    noise = "one two three four five six seven"
+    files = [("a", f"{noise} Released under the MIT License. {noise} {noise}"), ("b", "x\n// SPDX-License-Identifier: MIT\ncode"), ("c", "GNU GENERAL PUBLIC LICENSE"), ("d", f"{noise}\nThis work is licensed under the GNU General Public\nLicense, version 2. {noise}"), ("e", "SPDX-License-Identifier: GPL-2.0"), ("f", "SPDX-License-Identifier: Unknown")]
+    got = {r["path"]: r["licence"] for r in scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a": "MIT", "b": "MIT", "c": None, "d": "GPL-2.0", "e": "GPL-2.0", "f": None}
+
+
 def test_edited_hash_matches(spark):
     r = QUERIES["op8_fingerprints"](spark, SF).orderBy("doc_id").collect()
     texts = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
