@@ -139,6 +139,19 @@ def test_licences_in_windows(spark):
     assert got == {"a": "MIT", "b": "MIT", "c": None, "d": "GPL-2.0", "e": "GPL-2.0", "f": None}
 
 
+def test_licences_inherited_as_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    folders = ["/".join(rng.choice(["a", "b"], k)) for k in rng.integers(0, 5, 40)]
+    licence = {f: ("MIT", "Released under the MIT License.") if i % 2 else ("CC-BY-4.0", "Licensed under CC BY 4.0.") for i, f in enumerate(dict.fromkeys(folders[:6]))}
+    join = lambda f, name: f"{f}/{name}" if f else name
+    files = [(join(f, "LICENSE"), t) for f, (_, t) in licence.items()] + [(join(f, f"{i}.py"), "code") for i, f in enumerate(folders)]
+    got = {r["path"]: (r["licence"], r["inherited_from"]) for r in scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for i, f in enumerate(folders):
+        up = [x for x in licence if x in ("", f) or f.startswith(x + "/")]
+        near = max(up, key=len, default=None)
+        assert got[join(f, f"{i}.py")] == ((licence[near][0], near) if up else (None, None))
+
+
 def test_edited_hash_matches(spark):
     r = QUERIES["op8_fingerprints"](spark, SF).orderBy("doc_id").collect()
     texts = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
