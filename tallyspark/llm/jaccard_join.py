@@ -1,9 +1,15 @@
 """Exact self-join of documents on the Jaccard similarity of word n-gram sets.
 
-Method: inverted lists over the rarest tokens of each set (prefix filter), whose entries carry
-positions, so that blocks of a list that cannot reach the threshold are skipped; the answers of a
-set inside a family of near copies are derived from one set of the family (the pivot): members
-linked with the pivot share its class, and the pivot's overlaps bound theirs with outside sets.
+Method: inverted lists over the rarest tokens of each set (prefix filter). Entries carry the most that
+they can still share from their position on; blocks of a list whose bounds cannot reach each other are
+skipped, and so are entries that no entry of another component can reach. In a family of near copies
+one set, the pivot, is compared with every other; the rest of the answers is derived from the
+differences to the pivot: with p the pivot, d(x) the tokens in one of x and p only,
+
+    |a & b| = |p| - |p - a| - |p - b| + |d(a) & d(b)|,
+
+so lists over the small d(x) find the linked pairs of a family, and members linked with the pivot need
+no pair at all.
 
 Nodes are classes of documents with equal sets, so exact copies are never paired.
 """
@@ -29,8 +35,11 @@ RANKED_SHARE = 0.3
 #: Tokens counted together inside a task, and entries of one slice of the inverted lists.
 COUNTED_TOGETHER = 1 << 22
 SLICE_ENTRIES = 150_000
-#: Pairs of one pivot that are verified in one task.
+#: Pairs of one pivot that are verified in one group, and tokens of the sets that one task verifies.
 PAIRS_TOGETHER = 64
+TASK_TOKENS = 2_000_000
+#: Each next block of a list holds entries with weights larger by this factor.
+BLOCK_STEP = 1.1
 
 _SET_SCHEMA = "doc_id long, text_key long, n_shingles long, n_ranked long, set_id long, token long, seen long"
 
@@ -156,47 +165,53 @@ def _shared(slice_rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": rows["token"].astype("<i8"), "set_id": rows["set_id"], "key": rows["key"].astype("int64")})
 
 
-def _can_link(percent: int, first: bool = False) -> Column:
-    """The position filter: entries (n, pos) and (n2, pos2) of one token can belong to linked sets.
-
-    With first the token is taken as the first one the two sets share.
-    """
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    most = rest if first else F.least("pos", "pos2") + rest
+def _can_link(percent: int) -> Column:
+    """The position filter: entries (n, pos) and (n2, pos2) of one token can belong to linked sets."""
+    most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     return 100 * most >= percent * (F.col("n") + F.col("n2") - most)
 
 
-def _overlaps(width: int):
-    """Per pivot (left) and up to PAIRS_TOGETHER partners (right) the number of common tokens."""
+def _overlaps(width: int, differences: bool):
+    """Per pivot (left) and up to PAIRS_TOGETHER partners (right) the number of common tokens, and the differences if asked for.
+
+    A partner that differs from the pivot by more tokens than it has gets no differences.
+    """
 
     def run(pivots: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
         own = shingle_sets(pa.array(pivots["pivot_text"].iloc[:1], pa.string()), width)[0]
-        out = []
+        common, sizes, apart = [], [], []
         for i in range(0, len(partners), 16):
             some = partners.iloc[i : i + 16]
             for s in shingle_sets(pa.array(some["text"], pa.string()), width):
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                out.append(int((own[at] == s).sum()))
-        return pd.DataFrame({"a": pivots["pivot"].iloc[0], "b": partners["b"].to_numpy(), "common": out})
+                c = int((own[at] == s).sum())
+                common.append(c)
+                sizes.append(len(s))
+                if differences:
+                    near = len(own) + len(s) - 2 * c <= len(s)
+                    apart.append(np.setxor1d(own, s, assume_unique=True).view(np.int64) if near else None)
+        out = pd.DataFrame({"a": pivots["pivot"].iloc[0], "b": partners["b"].to_numpy(), "common": common, "n_a": len(own), "n_b": sizes})
+        return out.assign(apart=apart) if differences else out
 
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, label: str) -> DataFrame:
-    """Exact overlaps of the pairs (a, b) of classes: their texts are fetched once, then met pivot by pivot."""
+def _meet(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, label: str, differences: bool = False) -> DataFrame:
+    """a, b, common, n_a, n_b (and apart) of pairs (a, b) of classes: their texts are fetched once, then met pivot by pivot."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = materialize(ids.join(classes.select("set_id", "text_key"), "set_id"), f"{label}-wanted")
-    some = semi_join_sized(texts, wanted.select("text_key").distinct(), "text_key", wanted.count())
+    wanted = materialize(ids.join(classes.select("set_id", "text_key", "n_shingles"), "set_id"), f"{label}-wanted")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("tokens")).first()
+    some = semi_join_sized(texts, wanted.select("text_key").distinct(), "text_key", size["n"])
     held = some.groupBy("text_key").agg(F.first("text").alias("text"))
-    held = materialize(wanted.join(held, "text_key").select("set_id", "text"), f"{label}-texts")
+    held = materialize(wanted.select("set_id", "text_key").join(held, "text_key").select("set_id", "text"), f"{label}-texts")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("salts"))
     pairs = materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), f"{label}-pairs")
     right = pairs.join(held.select(F.col("set_id").alias("b"), "text"), "b")
     left = pairs.groupBy("a", "salt").count().join(held.select(F.col("set_id").alias("a"), "text"), "a")
     left = left.select(F.col("a").alias("pivot"), F.col("salt").alias("part"), F.col("text").alias("pivot_text"))
-    met = left.groupBy("pivot", "part").cogroup(right.groupBy("a", "salt")).applyInPandas(_overlaps(width), "a long, b long, common long")
-    sizes = classes.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"))
-    met = met.join(sizes, "a").join(sizes.withColumnsRenamed({"a": "b", "n_a": "n_b"}), "b")
+    tasks = int(max(8, size["tokens"] // TASK_TOKENS))
+    met = left.repartition(tasks, "pivot", "part").groupBy("pivot", "part").cogroup(right.repartition(tasks, "a", "salt").groupBy("a", "salt"))
+    met = met.applyInPandas(_overlaps(width, differences), "a long, b long, common long, n_a long, n_b long" + (", apart array<long>" if differences else ""))
     return materialize(met, f"{label}-met")
 
 
@@ -218,12 +233,17 @@ def _lists(docs: DataFrame, classes: DataFrame, width: int, percent: int, freque
     return materialize(entries.where(F.col("pos") < prefix).select("token", "set_id", "n", "pos"), "lists")
 
 
-def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """lists with each set's component so far, without lists that hold one component."""
-    named = lists.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "set_id"))
+def _open_sets(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets of lists that hold several components."""
+    named = _named(lists, labels)
     several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    return materialize(named.join(several.select("token"), "token", "left_semi"), "named")
+    return named.join(several.select("token"), "token", "left_semi").select("set_id").distinct()
+
+
+def _named(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """sets with each one's component so far."""
+    named = sets.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
+    return named.withColumn("component", F.coalesce("component", "set_id"))
 
 
 def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -244,30 +264,92 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("set_id").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", F.col("set_id").alias("b"))
 
 
-def _cross_pairs(named: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, of different components that may share a first token in some list.
+def _families(met: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """(a, b): open sets b with the pivot a of their family, a itself among them; families of two or more.
 
-    Each list's main component is paired with the sets of others only, never with itself.
+    A pivot that is near to a pivot of its own hands its family on to that one.
     """
-    main = named.groupBy("token").agg(F.mode("component", True).alias("main"))
-    named = named.join(main, "token")
-    other = named.where("component != main").select("token", F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    once = (F.col("component") == F.col("main")) | (F.col("set_id") < F.col("b"))
-    cross = named.join(other, "token").where((F.col("component") != F.col("component2")) & once & _can_link(percent, first=True))
-    return cross.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
-
-
-def _not_ruled_out(pairs: DataFrame, met: DataFrame, linked: Column, percent: int) -> DataFrame:
-    """Pairs (a, b), swapped, without those that the answers of a's pivot rule out.
-
-    With p linked to a and tested against b: |a & b| <= min(|a & p|, |b & p|) + |a - p|.
+    up = met.where("3 * common >= n_a + n_b").select(F.col("b").alias("low"), F.col("a").alias("high"))
+    family = met.select("b", "a")
+    for _ in range(2):
+        family = family.join(up, F.col("a") == F.col("low"), "left").select("b", F.coalesce("high", "a").alias("a"))
+    family = materialize(family, "families")
+    pivots = family.select(F.col("a").alias("b")).distinct().join(up.select(F.col("low").alias("b")), "b", "left_anti")
+    family = family.join(pivots, "b", "left_anti").select("a", "b").unionByName(pivots.select(F.col("b").alias("a"), "b"))
+    family = family.join(open_sets.select(F.col("set_id").alias("b")), "b", "left_semi")
+    several = family.groupBy("a").count().where("count > 1").select("a")
+    return materialize(family.join(several, "a", "left_semi"), "families")
+
+
+def _pairs(entries: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of sets whose entries in some list can reach each other.
+
+    entries: space and token name a list; set_id; side, whose equals are not paired; weight, such that
+    two sets are linked if their shared tokens, each worth a fixed amount, reach the sum of both weights;
+    slack, the worth of the tokens from the entry's position on, less the weight. So two entries can
+    belong to linked sets only if each one's slack reaches the other's weight.
+    """
+    name = ["space", "token"]
+    sides = entries.groupBy(*name, "side").agg(F.max("slack").alias("slack"), F.min("weight").alias("weight"))
+    first = sides.groupBy(*name).agg(F.max(F.struct("slack", "side")).alias("s1"), F.min(F.struct("weight", "side")).alias("w1"))
+    other = lambda best, value: F.when(F.col("side") != F.col(f"{best}.side"), F.col(value))
+    both = sides.join(first, name).groupBy(*name).agg(F.first("s1").alias("s1"), F.first("w1").alias("w1"), F.max(other("s1", "slack")).alias("s2"), F.min(other("w1", "weight")).alias("w2"))
+    most, least = F.coalesce(other("s1", "s1.slack"), "s2"), F.coalesce(other("w1", "w1.weight"), "w2")
+    kept = entries.join(both.where("s2 is not null"), name).where((most >= F.col("weight")) & (F.col("slack") >= least)).select(*name, "set_id", "side", "weight", "slack", "scale")
+    block = F.floor(F.log(F.col("scale") + F.lit(1.0)) / F.log(F.lit(BLOCK_STEP)))
+    kept = materialize(kept.withColumn("block", block), "kept")
+
+    blocks = kept.groupBy(*name, "block").agg(F.max("slack").alias("slack"), F.min("weight").alias("weight"), F.min("side").alias("low"), F.max("side").alias("high"))
+    again = blocks.withColumnsRenamed({"block": "block2", "slack": "slack2", "weight": "weight2", "low": "low2", "high": "high2"})
+    reach = (F.col("slack") >= F.col("weight2")) & (F.col("slack2") >= F.col("weight"))
+    several = (F.least("low", "low2") < F.greatest("high", "high2")) & (F.col("block") <= F.col("block2"))
+    met = blocks.join(again, name).where(reach & several).select(*name, "block", "block2")
+    left = kept.join(met, [*name, "block"]).drop("block")
+    right = kept.select(*name, F.col("block").alias("block2"), F.col("set_id").alias("set_id2"), F.col("side").alias("side2"), F.col("weight").alias("weight2"), F.col("slack").alias("slack2"))
+    found = left.join(right, [*name, "block2"]).where(reach & (F.col("side") != F.col("side2")))
+    return found.select(F.least("set_id", "set_id2").alias("a"), F.greatest("set_id", "set_id2").alias("b")).distinct()
+
+
+def _family_links(families: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b, common, n_a, n_b of linked pairs of families' members (_meet with differences) that span their components.
+
+    A member's weight is 200 |p - x| + 2 percent |x - p| - (100 - percent) |p|, a shared token is worth 2 (100 + percent).
     """
-    ours = met.where(linked).select(F.col("b").alias("a"), F.col("a").alias("p"), F.col("common").alias("c_a"), F.col("n_b").alias("m_a"))
-    theirs = met.select("b", F.col("a").alias("p"), F.col("common").alias("c_b"), F.col("n_b").alias("m_b"))
-    most = F.least("c_a", "c_b") + F.col("m_a") - F.col("c_a")
-    out = 100 * most < percent * (F.col("m_a") + F.col("m_b") - most)
-    joined = pairs.join(ours, "a", "left").join(theirs, ["b", "p"], "left")
-    return joined.where(~F.coalesce(out, F.lit(False))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    own = _named(families.where("apart is not null").withColumnRenamed("b", "set_id"), labels)
+    missing = F.col("n_a") - F.col("common")
+    scale = 200 * missing + 2 * percent * (F.col("n_b") - F.col("common"))
+    own = own.select(F.col("a").alias("space"), "set_id", F.col("component").alias("side"), "apart", scale.alias("scale"), (scale - (100 - percent) * F.col("n_a")).alias("weight"), missing.alias("missing"), F.col("n_a").alias("n_p"), F.col("n_b").alias("n"))
+    own = materialize(own, "differences")
+    tokens = own.select("space", "set_id", "side", "scale", "weight", F.size("apart").alias("size"), F.explode("apart").alias("token"))
+    held = tokens.groupBy("space", "token").agg(F.count("*").alias("held")).where("held > 1")
+    tokens = tokens.join(held, ["space", "token"])
+    over = Window.partitionBy("space", "set_id")
+    pos = F.col("size") - F.count("*").over(over) + F.row_number().over(over.orderBy("held", "token")) - 1
+    entries = tokens.withColumn("slack", 2 * (100 + percent) * (F.col("size") - pos) - F.col("weight"))
+    pairs = _pairs(materialize(entries.select("space", "token", "set_id", "side", "weight", "scale", "slack"), "entries"))
+    a = own.select("space", F.col("set_id").alias("a"), F.col("apart").alias("apart_a"), F.col("missing").alias("m_a"), F.col("n").alias("n_a"), "n_p")
+    b = own.select(F.col("space").alias("space_b"), F.col("set_id").alias("b"), F.col("apart").alias("apart_b"), F.col("missing").alias("m_b"), F.col("n").alias("n_b"))
+    both = pairs.join(a, "a").join(b, "b").where("space = space_b")
+    common = (F.col("n_p") - F.col("m_a") - F.col("m_b") + F.size(F.array_intersect("apart_a", "apart_b"))).cast("long")
+    return both.select("a", "b", common.alias("common"), "n_a", "n_b")
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT_TOKENS tokens with the largest counts, sorted, with these: those above a count that a histogram gives."""
+    seen = materialize(rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "seen")
+    step = F.floor(F.log2(F.col("seen").cast("double")) * 8)
+    held, least = 0, None
+    for r in sorted(seen.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > FREQUENT_TOKENS:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    often = seen.where(step >= least).toPandas()
+    tokens = often["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], often["seen"].to_numpy(np.int64)[order]
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -279,8 +361,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     n_b for pairs of sets that were verified as linked and that span every component.
 
     Null and empty texts and texts without words have empty sets and link with nothing. Fewer words
-    than width make one shingle of them all. Repeated rows and rows with equal doc_id stay rows of
-    their own; equal sets are one class. Sets are compared by 64-bit hashes of their shingles.
+    than width make one shingle of them all. Rows with a null doc_id, repeated rows and rows with equal
+    doc_id stay rows of their own; equal sets are one class. An empty table gives no rows. Sets are
+    compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -290,29 +373,40 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     classes = members.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("n_ranked").alias("n_ranked"), F.min("text_key").alias("text_key"))
     classes = materialize(classes, "classes")
     total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
 
-    often = rows.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT_TOKENS).toPandas()
-    often["token"] = often["token"].to_numpy(np.int64).view(np.uint64)
-    often = often.sort_values("token")
-    frequent = spark.sparkContext.broadcast((often["token"].to_numpy(np.uint64), often["seen"].to_numpy(np.int64)))
-
+    # Every listed set meets its pivot.
     lists = _lists(docs, classes, width, percent, frequent, RANKED_SHARE, total)
     linked = (100 * F.col("common")) >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    met = _verify(materialize(_pivot_pairs(lists, percent), "pairs"), classes, texts, width, "met")
+    met = _meet(materialize(_pivot_pairs(lists, percent), "pairs"), classes, texts, width, "met")
     links = met.where(linked)
     labels = connected_components(links.select("a", "b"))
 
-    # Sets in lists that hold several components are listed again, all their tokens in exact order of
-    # rarity; their pairs across components are tested, unless a pivot's answer rules them out.
-    rest = materialize(_named(lists, labels).select("set_id").distinct().join(classes, "set_id"), "rest")
+    # Sets in lists that still hold several components: families first, by differences to their pivots.
+    rest = materialize(_open_sets(lists, labels).join(classes, "set_id"), "rest")
+    families = _meet(_families(met, rest), classes, texts, width, "families", differences=True)
+    found = materialize(_family_links(families, labels, percent).where(linked), "family-links")
+    derived = families.where(linked & (F.col("a") != F.col("b"))).select(*found.columns)
+    links = links.unionByName(found).unionByName(derived).distinct()
+    labels = connected_components(links.select("a", "b"))
+
+    # What is left lies in different families: these sets are listed again, all their tokens in exact order of rarity.
+    rest = materialize(_open_sets(lists, labels).join(classes, "set_id"), "rest")
     size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("total")).first()
     again = semi_join_sized(texts, rest.select("text_key"), "text_key", size["n"]).select("text")
     lists = _lists(again, classes, width, percent, frequent, 1.0, size["total"])
-    cross = _cross_pairs(_named(lists, labels), percent)
+    family = families.where("apart is not null").select(F.col("b").alias("set_id"), F.xxhash64(F.lit("family"), "a").alias("family"))
+    entries = _named(lists, labels).join(family, "set_id", "left")
+    weight = 2 * percent * F.col("n")
+    entries = entries.select(
+        F.lit(0).alias("space"), "token", "set_id", F.coalesce("family", "component").alias("side"), weight.alias("weight"), weight.alias("scale"),
+        (2 * (100 + percent) * (F.col("n") - F.col("pos")) - weight).alias("slack"),
+    )
+    cross = materialize(_pairs(materialize(entries, "entries")), "cross")
+    component = labels.select(F.col("id").alias("a"), F.col("component").alias("c"))
+    cross = cross.join(component, "a", "left").join(component.withColumnsRenamed({"a": "b", "c": "c2"}), "b", "left").where(~F.coalesce(F.col("c") == F.col("c2"), F.lit(False))).select("a", "b")
     tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.join(tested, ["a", "b"], "left_anti")
-    cross = _not_ruled_out(_not_ruled_out(cross, met, linked, percent), met, linked, percent)
-    found = _verify(materialize(cross, "pairs"), classes, texts, width, "met")
+    found = _meet(materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs"), classes, texts, width, "cross")
     links = links.unionByName(found.where(linked))
     labels = connected_components(links.select("a", "b"))
     members = members.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
