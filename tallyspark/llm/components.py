@@ -30,8 +30,20 @@ def connected_components(links: DataFrame) -> DataFrame:
         left = edges.join(to, "a").select(F.col("to").alias("a"), "b")
         right = left.join(to.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b").select("a", F.col("to_b").alias("b"))
         edges = materialize(right.where("a != b").distinct(), "edges")
-        names = materialize(names, "names")
         turn += 1
+        if turn % 4 == 0:
+            names = materialize(names, "names")
     if names is None:
         return links.sparkSession.createDataFrame([], "id long, component long")
-    return names
+    return materialize(names, "names")
+
+
+def extended_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component; from connected_components) with further links (a, b): only components that these join are worked on."""
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
+    ids = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    ids = materialize(ids, "ids")
+    of = lambda c: ids.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    joined = connected_components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return materialize(ids.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "names")

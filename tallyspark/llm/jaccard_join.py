@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import materialize, semi_join_sized
-from tallyspark.llm.components import connected_components
+from tallyspark.llm.components import connected_components, extended_components
 from tallyspark.llm.hashing import set_key, shingle_sets, sub_batches
 
 #: Tokens known as frequent before the lists are built; they steer the token order, never the result.
@@ -387,8 +387,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     families = _meet(_families(met, rest), classes, texts, width, "families", differences=True)
     found = materialize(_family_links(families, labels, percent).where(linked), "family-links")
     derived = families.where(linked & (F.col("a") != F.col("b"))).select(*found.columns)
-    links = links.unionByName(found).unionByName(derived).distinct()
-    labels = connected_components(links.select("a", "b"))
+    more = found.unionByName(derived)
+    links = links.unionByName(more).distinct()
+    labels = extended_components(labels, more)
 
     # What is left lies in different families: these sets are listed again, all their tokens in exact order of rarity.
     rest = materialize(_open_sets(lists, labels).join(classes, "set_id"), "rest")
@@ -408,6 +409,6 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Da
     tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = _meet(materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs"), classes, texts, width, "cross")
     links = links.unionByName(found.where(linked))
-    labels = connected_components(links.select("a", "b"))
+    labels = extended_components(labels, found.where(linked))
     members = members.join(labels.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     return members.select("doc_id", "n_shingles", "set_id", "component"), links
