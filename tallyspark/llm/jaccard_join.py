@@ -35,9 +35,9 @@ RANKED_SHARE = 0.3
 #: Tokens counted together inside a task, and entries of one slice of the inverted lists.
 COUNTED_TOGETHER = 1 << 22
 SLICE_ENTRIES = 150_000
-#: Pairs of one pivot that are verified in one group, and tokens of the sets that one task verifies.
+#: Pairs of one pivot that are verified in one group, and about the tokens of sets that one group verifies.
 PAIRS_TOGETHER = 64
-TASK_TOKENS = 2_000_000
+BUCKET_TOKENS = 250_000
 #: Each next block of a list holds entries with weights larger by this factor.
 BLOCK_STEP = 1.1
 
@@ -172,32 +172,35 @@ def _can_link(percent: int) -> Column:
 
 
 def _overlaps(width: int, differences: bool):
-    """Per pivot (left) and up to PAIRS_TOGETHER partners (right) the number of common tokens, and the differences if asked for.
+    """For the pivots (left) and their partners (right) of one bucket the numbers of common tokens, and the differences if asked for.
 
-    A partner that differs from the pivot by more tokens than it has gets no differences.
+    A partner that differs from its pivot by more tokens than it has gets no differences.
     """
 
     def run(pivots: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-        own = shingle_sets(pa.array(pivots["pivot_text"].iloc[:1], pa.string()), width)[0]
-        common, sizes, apart = [], [], []
-        for i in range(0, len(partners), 16):
-            some = partners.iloc[i : i + 16]
-            for s in shingle_sets(pa.array(some["text"], pa.string()), width):
-                at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                c = int((own[at] == s).sum())
-                common.append(c)
-                sizes.append(len(s))
-                if differences:
-                    near = len(own) + len(s) - 2 * c <= len(s)
-                    apart.append(np.setxor1d(own, s, assume_unique=True).view(np.int64) if near else None)
-        out = pd.DataFrame({"a": pivots["pivot"].iloc[0], "b": partners["b"].to_numpy(), "common": common, "n_a": len(own), "n_b": sizes})
-        return out.assign(apart=apart) if differences else out
+        own, out = {}, []
+        for i in range(0, len(pivots), 64):
+            some = pivots.iloc[i : i + 64]
+            own |= dict(zip(some["pivot"].tolist(), shingle_sets(pa.array(some["pivot_text"], pa.string()), width), strict=True))
+        for i in range(0, len(partners), 64):
+            some = partners.iloc[i : i + 64]
+            for a, b, s in zip(some["a"].tolist(), some["b"].tolist(), shingle_sets(pa.array(some["text"], pa.string()), width), strict=True):
+                p = own[a]
+                at = np.minimum(np.searchsorted(p, s), len(p) - 1)
+                c = int((p[at] == s).sum())
+                near = differences and len(p) <= 2 * c
+                out.append((a, b, c, len(p), len(s), np.setxor1d(p, s, assume_unique=True).view(np.int64) if near else None))
+        out = pd.DataFrame(out, columns=["a", "b", "common", "n_a", "n_b", "apart"])
+        return out if differences else out.drop(columns="apart")
 
     return run
 
 
 def _meet(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, label: str, differences: bool = False) -> DataFrame:
-    """a, b, common, n_a, n_b (and apart) of pairs (a, b) of classes: their texts are fetched once, then met pivot by pivot."""
+    """a, b, common, n_a, n_b (and apart) of pairs (a, b) of classes: their texts are fetched once, then met in buckets of pivots.
+
+    A pivot with many partners is in several buckets.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = materialize(ids.join(classes.select("set_id", "text_key", "n_shingles"), "set_id"), f"{label}-wanted")
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("tokens")).first()
@@ -205,12 +208,13 @@ def _meet(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, la
     held = some.groupBy("text_key").agg(F.first("text").alias("text"))
     held = materialize(wanted.select("set_id", "text_key").join(held, "text_key").select("set_id", "text"), f"{label}-texts")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_TOGETHER).alias("salts"))
-    pairs = materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")), f"{label}-pairs")
+    buckets = int(max(64, size["tokens"] // BUCKET_TOKENS))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts"))
+    pairs = materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("a", salt), F.lit(buckets)).alias("bucket")), f"{label}-pairs")
     right = pairs.join(held.select(F.col("set_id").alias("b"), "text"), "b")
-    left = pairs.groupBy("a", "salt").count().join(held.select(F.col("set_id").alias("a"), "text"), "a")
-    left = left.select(F.col("a").alias("pivot"), F.col("salt").alias("part"), F.col("text").alias("pivot_text"))
-    tasks = int(max(8, size["tokens"] // TASK_TOKENS))
-    met = left.repartition(tasks, "pivot", "part").groupBy("pivot", "part").cogroup(right.repartition(tasks, "a", "salt").groupBy("a", "salt"))
+    left = pairs.select(F.col("bucket").alias("place"), F.col("a").alias("pivot")).distinct().join(held.select(F.col("set_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    tasks = max(32, buckets // 4)
+    met = left.repartition(tasks, "place").groupBy("place").cogroup(right.repartition(tasks, "bucket").groupBy("bucket"))
     met = met.applyInPandas(_overlaps(width, differences), "a long, b long, common long, n_a long, n_b long" + (", apart array<long>" if differences else ""))
     return materialize(met, f"{label}-met")
 
@@ -267,10 +271,11 @@ def _pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _families(met: DataFrame, open_sets: DataFrame) -> DataFrame:
     """(a, b): open sets b with the pivot a of their family, a itself among them; families of two or more.
 
-    A pivot that is near to a pivot of its own hands its family on to that one.
+    Sets that share less than half of their pivot are in no family. A pivot that is near to a pivot of its own
+    hands its family on to that one.
     """
     up = met.where("3 * common >= n_a + n_b").select(F.col("b").alias("low"), F.col("a").alias("high"))
-    family = met.select("b", "a")
+    family = met.where("n_a <= 2 * common").select("b", "a")
     for _ in range(2):
         family = family.join(up, F.col("a") == F.col("low"), "left").select("b", F.coalesce("high", "a").alias("a"))
     family = materialize(family, "families")
