@@ -120,8 +120,10 @@ def _text_windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def train(labelled: DataFrame, seed: int = 0) -> ByteCNN:
     """A network from labelled rows (text, lang) without nulls.
 
-    It is fitted on a bounded sample: per language the WINDOWS_PER_LANGUAGE windows, at most
-    WINDOWS_PER_TEXT of a text, whose hashes are smallest. No rows give a network without languages.
+    It is fitted on a bounded sample: per language the WINDOWS_PER_LANGUAGE different windows, at most
+    WINDOWS_PER_TEXT of a text, whose hashes are smallest. Tasks drop windows far above that hash, which the
+    number of windows gives, before the shuffle. No rows give a network without languages. Repeated
+    rows count once. Other columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +140,13 @@ def train(labelled: DataFrame, seed: int = 0) -> ByteCNN:
                 yield pa.RecordBatch.from_arrays([langs, pa.array(rank[keep] ^ (batch.column("h").to_numpy()[text[keep]] >> 7)), pa.array([d.tobytes() for d in data], pa.binary())], names=["lang", "rank", "bytes"])
 
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(seed)).alias("h"))
-    cuts = rows.mapInArrow(cut, "lang string, rank long, bytes binary")
-    over = Window.partitionBy("lang").orderBy("rank", "bytes")
-    sample = cuts.withColumn("r", F.row_number().over(over)).where(F.col("r") <= WINDOWS_PER_LANGUAGE).select("lang", "rank", "bytes").toPandas()
-    sample = sample.sort_values(["lang", "rank", "bytes"], kind="stable")
+    n = rows.groupBy("lang").agg(F.sum(F.least(F.ceil(F.octet_length("text") / WINDOW), F.lit(WINDOWS_PER_TEXT))).alias("n"))
+    share = F.least(F.lit(1.0), 1.5 * WINDOWS_PER_LANGUAGE / F.greatest("n", F.lit(1)))
+    cuts = rows.mapInArrow(cut, "lang string, rank long, bytes binary").withColumn("key", F.xxhash64("rank", "bytes"))
+    cuts = cuts.join(F.broadcast(n.select("lang", (share * 2.0**64 - 2.0**63).alias("most"))), "lang").where(F.col("key").cast("double") <= F.col("most"))
+    over = Window.partitionBy("lang").orderBy("key", "bytes")
+    sample = cuts.select("lang", "key", "bytes").dropDuplicates().withColumn("r", F.row_number().over(over)).where(F.col("r") <= WINDOWS_PER_LANGUAGE).select("lang", "key", "bytes").toPandas()
+    sample = sample.sort_values(["lang", "key", "bytes"], kind="stable")
     languages = sorted(sample["lang"].unique())
     model = ByteCNN(languages, seed)
     if len(languages) > 1:
@@ -150,14 +155,17 @@ def train(labelled: DataFrame, seed: int = 0) -> ByteCNN:
     return model
 
 
-def predict(docs: DataFrame, model: ByteCNN, text: str = "text", prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: ByteCNN, text: str = "text") -> DataFrame:
     """docs with lang_pred string and score double (the mean probability of that language, 0 to 1).
 
     Only the text decides. Null texts, and texts without a letter, are `und` with score 0, as is every
-    text if the model has no language. Texts of any length are read whole.
+    text if the model has no language. Texts of any length are read whole. Repeated rows are judged each,
+    an empty table gives no rows, and columns of docs named lang_pred or score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
+    flag = "_" * (1 + max(map(len, names))) + "letters"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -165,7 +173,7 @@ def predict(docs: DataFrame, model: ByteCNN, text: str = "text", prefix: str = "
             for batch in sub_batches(whole, text, 1 << 20):
                 raw, offsets = text_bytes(batch.column(text))
                 best, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-                letters = batch.column("_letters").to_pylist()
+                letters = batch.column(flag).to_pylist()
                 if model.languages:
                     at, start, end = _text_windows(offsets)
                     total = np.zeros((batch.num_rows, len(model.languages)))
@@ -180,7 +188,7 @@ def predict(docs: DataFrame, model: ByteCNN, text: str = "text", prefix: str = "
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(best), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

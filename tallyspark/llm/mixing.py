@@ -4,7 +4,7 @@ Each source's documents form one stream of words that is cut into blocks of fixe
 shard draws multinomial counts of slots per source; a source's slots, numbered over all shards, are
 mapped through pseudorandom permutations of its block indexes (one per pass), and blocks are joined by
 index. After the draw, slots above a source's quota fall away and missing ones are added, so a
-source's total meets its target to within a block.
+source's total meets its target to within a block. Small sources have shorter blocks.
 """
 
 from __future__ import annotations
@@ -65,10 +65,12 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Column | None = None, most: float = 3.0, block: int = 256, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, spans) of a mix as large as the input.
 
+    block: words of a block, at most; a source with few words, or a small target, has blocks of a sixteenth of these.
+
     docs: doc_id long, source string, text string (or the column expression size, in words). weight
     gives a source's weight from its index, sources being in code point order with null last.
     rows: row long (names an input row), doc_id, source, size, and row_key if docs has it. sources: source, s int, source_size,
-    target. spans: shard, slot, s, pass, block, row, start, words - the words [start, start + words) of
+    target, block. spans: shard, slot, s, pass, block, row, start, words - the words [start, start + words) of
     a row that a slot of the mix holds. A block is used once in each pass, and passes are at most
     ceil(most), so no row gives more than ceil(most) times its size.
 
@@ -84,23 +86,24 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Colum
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     sizes = [r["size"] for r in found]
     targets = water_fill(sizes, [weight(i, r["source"]) for i, r in enumerate(found)], most)
-    blocks = [-(-s // block) for s in sizes]
+    lengths = [max(1, min(block, int(min(s, t) / 16))) for s, t in zip(sizes, targets, strict=True)]
+    blocks = [-(-s // n) for s, n in zip(sizes, lengths, strict=True)]
     quota = []
-    for s, t, n in zip(sizes, targets, blocks, strict=True):
+    for s, t, n, length in zip(sizes, targets, blocks, lengths, strict=True):
         turns = int(t // s) if s else 0
-        quota.append(min(turns * n + round((t - turns * s) / block), int(most) * n) if s else 0)
+        quota.append(min(turns * n + round((t - turns * s) / length), int(most) * n) if s else 0)
     n_rows = sum(r["n"] for r in found)
-    sources = spark.createDataFrame([(r["source"], i, s, t) for i, (r, s, t) in enumerate(zip(found, sizes, targets, strict=True))], "source string, s int, source_size long, target double")
-    index = F.broadcast(sources.select(F.col("source").alias("_source"), "s"))
+    sources = spark.createDataFrame([(r["source"], i, *x) for i, (r, *x) in enumerate(zip(found, sizes, targets, lengths, strict=True))], "source string, s int, source_size long, target double, block long")
+    index = F.broadcast(sources.select(F.col("source").alias("_source"), "s", F.col("block").alias("length")))
     rows = rows.join(index, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
 
     # The streams: words before each row in its source, then the blocks that a row reaches into.
     b = bucket_count(n_rows)
     placed = prefix_sums(rows.where("size > 0"), ["s"], ["doc_id", "tie", "row"], ["size"], F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(b)))
-    reach = F.explode(F.sequence(F.floor(F.col("before_size") / block), F.floor((F.col("before_size") + F.col("size") - 1) / block)))
-    pieces = placed.select("s", "row", "before_size", "size", reach.alias("block"))
-    start = F.greatest(F.col("block") * block, F.col("before_size"))
-    end = F.least((F.col("block") + 1) * block, F.col("before_size") + F.col("size"))
+    reach = F.explode(F.sequence(F.floor(F.col("before_size") / F.col("length")), F.floor((F.col("before_size") + F.col("size") - 1) / F.col("length"))))
+    pieces = placed.select("s", "row", "before_size", "size", "length", reach.alias("block"))
+    start = F.greatest(F.col("block") * F.col("length"), F.col("before_size"))
+    end = F.least((F.col("block") + 1) * F.col("length"), F.col("before_size") + F.col("size"))
     pieces = pieces.select("s", "block", "row", (start - F.col("before_size")).alias("start"), (end - start).alias("words"))
 
     # The slots: a multinomial draw per shard, then quotas.
@@ -141,5 +144,6 @@ def mix(docs: DataFrame, weight: Callable[[int, str | None], float], size: Colum
                 yield pd.DataFrame({"shard": shard, "slot": j, "s": s, "pass": turn, "block": at})
 
     placed_slots = given.repartition("shard", "s", "first").mapInPandas(slots, "shard long, slot long, s int, pass int, block long")
-    spans = placed_slots.join(pieces, ["s", "block"]).select("shard", "slot", "s", "pass", "block", "row", "start", "words")
+    # Both sides grow with the data, though the planner sees the slots' small input only: never a broadcast.
+    spans = placed_slots.hint("merge").join(pieces, ["s", "block"]).select("shard", "slot", "s", "pass", "block", "row", "start", "words")
     return rows.select("row", "doc_id", "source", "s", "size", *own), sources, spans

@@ -201,9 +201,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
     place in its sequence (offset). With cut=False rows are cut only if longer than a sequence.
 
     Null and empty texts give the end id alone. Repeated rows are packed each. Very long texts are
-    cut over sequences. An empty table gives no pieces. Other columns are ignored.
+    cut over sequences. An empty table gives no pieces. Other columns are ignored. Limits below 1 are refused.
     """
     most_loss = capacity if max_loss is None else max_loss
+    if min(capacity, max_segments, most_loss) < 1:
+        raise ValueError("capacity, max_segments and max_loss must be 1 at least")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(prompt).cast("string") if prompt else F.lit(None).cast("string")).alias("prompt"))
     end = np.array([end_id], "<u4").tobytes()
 

@@ -56,6 +56,7 @@ def shard_rows(docs: DataFrame, key: Column, order: list[str], shards: int = 24,
 
     A null key is a key of its own. order names columns that fix the order of rows inside an arc;
     repeated rows are told apart by nothing and take neighbouring slots. An empty table gives no rows.
+    Columns of docs named shard or slot are replaced; all others stay as they are.
     """
     places, owner = ring(shards, virtual_nodes, seed)
     spread = docs.sparkSession.sparkContext.broadcast(places)
@@ -65,11 +66,15 @@ def shard_rows(docs: DataFrame, key: Column, order: list[str], shards: int = 24,
         return pd.Series(np.searchsorted(spread.value, place.to_numpy(np.int64)) % len(spread.value)).astype("int32")
 
     place = F.shiftrightunsigned(F.xxhash64(key, F.lit("ring")), 1)
-    rows = materialize(docs.withColumn("_arc", arc_of(place)).withColumn("_one", F.lit(1).cast("long")), "ring-rows")
-    found = rows.groupBy("_arc").count().collect()  # one row per virtual node at most
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    order = F.struct(*order)
+    rows = docs.select(row.alias("row"), arc_of(place).alias("arc"), order.alias("order"), F.xxhash64(key, F.lit("part")).alias("part"), F.lit(1).cast("long").alias("one"))
+    rows = materialize(rows, "ring-rows")
+    found = rows.groupBy("arc").count().collect()  # one row per virtual node at most
     demand = np.zeros(len(owner), np.int64)
     for r in found:
-        demand[r["_arc"]] = r["count"]
+        demand[r["arc"]] = r["count"]
     n = int(demand.sum())
     if load_factor <= 1:
         room = np.full(shards, n // shards)
@@ -80,9 +85,10 @@ def shard_rows(docs: DataFrame, key: Column, order: list[str], shards: int = 24,
     for arc, lo, hi, s in settle(demand, owner, room):
         table.append((arc, lo, hi, s, int(base[s])))
         base[s] += hi - lo
-    parts = docs.sparkSession.createDataFrame(table, "_a int, _lo long, _hi long, shard int, _base long")
+    parts = docs.sparkSession.createDataFrame(table, "a int, lo long, hi long, shard int, base long")
     b = bucket_count(n)
-    buckets = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(64)) * b + F.pmod(F.xxhash64(*order), F.lit(b))
-    ranked = prefix_sums(rows, ["_arc"], order, ["_one"], buckets)
-    out = ranked.join(F.broadcast(parts), (F.col("_arc") == F.col("_a")) & (F.col("before__one") >= F.col("_lo")) & (F.col("before__one") < F.col("_hi")))
-    return out.withColumn("slot", F.col("_base") + F.col("before__one") - F.col("_lo")).drop("_arc", "_one", "before__one", "_a", "_lo", "_hi", "_base")
+    buckets = F.pmod("part", F.lit(64)) * b + F.pmod(F.xxhash64("order"), F.lit(b))
+    ranked = prefix_sums(rows, ["arc"], ["order"], ["one"], buckets)
+    out = ranked.join(F.broadcast(parts), (F.col("arc") == F.col("a")) & (F.col("before_one") >= F.col("lo")) & (F.col("before_one") < F.col("hi")))
+    kept = [F.col("row")[c].alias(c) for c in names if c not in ("shard", "slot")]
+    return out.select(*kept, "shard", (F.col("base") + F.col("before_one") - F.col("lo")).alias("slot"))

@@ -40,15 +40,26 @@ def test_mix(spark):
     assert empty[0].count() == empty[2].count() == 0
 
 
+def test_small_sources_are_not_left_out(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 7), (2, "b", "w " * 2), (3, "c", "w " * 9000)], "doc_id long, source string, text string")
+    rows, sources, spans = mix(df, lambda i, _: [1.0, 2.0, 1.0][i])
+    taken = {r["s"]: r["n"] for r in spans.groupBy("s").agg(F.sum("words").alias("n")).collect()}
+    for s in sources.collect():
+        assert abs(taken[s["s"]] - s["target"]) <= max(1, s["target"] / 8)
+
+
 def test_shards(spark):
     rows = [(i, "same" if i % 3 == 0 else f"t{i}") for i in range(500)] + [(None, None), (7, "t7")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS slot0", "2 AS _lo")
-    out = shard_rows(df.drop("_lo"), F.col("text"), ["doc_id", "text"], shards=24).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS slot", "2 AS _lo", "3 AS shard", "4 AS _arc", "5 AS before_one", "6 AS lo", "7 AS row")
+    out = shard_rows(df, F.col("text"), ["doc_id", "text"], shards=24)
+    assert sorted(out.columns) == sorted(df.columns)
+    out = out.collect()
+    assert {(r["_lo"], r["_arc"], r["before_one"], r["lo"], r["row"]) for r in out} == {(2, 4, 5, 6, 7)}
     by = defaultdict(list)
     for r in out:
         by[r["shard"]].append(r["slot"])
     assert len(out) == 502 and {len(v) for v in by.values()} <= {20, 21} and all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert shard_rows(df.where("false").drop("_lo"), F.col("text"), ["doc_id", "text"]).count() == 0
+    assert shard_rows(df.where("false"), F.col("text"), ["doc_id", "text"]).count() == 0
 
 
 def test_bounded_loads_move_little():

@@ -65,3 +65,10 @@ def test_limits_on_segments_and_loss(cut):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH, 2).count() == 0
+
+
+def test_limits_that_nothing_fits_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for limits in ({"max_loss": 0}, {"max_segments": 0}, {"capacity": 0}):
+        with pytest.raises(ValueError):
+            pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2, **limits)

@@ -58,7 +58,8 @@ def test_fingerprints(spark):
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "en"), (-3, "123 !!", "de"), (-4, "the with and of " * 5000, None), (None, "und der die ist nicht", "de")], "doc_id long, text string, lang string")
-    out = identify(docs.unionByName(odd).withColumn("score0", F.lit(1)), ["doc_id", "lang"]).collect()
+    out = identify(docs.unionByName(odd).withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("x")).withColumn("_letters", F.lit(0)), ["doc_id", "lang", "score", "lang_pred", "_letters"]).collect()
+    assert out[0].__fields__.count("score") == out[0].__fields__.count("lang_pred") == 1 and all(r["score"] <= 1 for r in out)
     held = [r for r in out if r["held_out"] and (r["doc_id"] or 0) >= 0]
     assert len(held) > 100 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
     by = {r["doc_id"]: r for r in out}
