@@ -13,9 +13,10 @@ def parse_ms(value: Column) -> Column:
     return F.when(number.isNotNull(), F.when((number >= 946684800) & (number < 4102444800), F.floor(number * 1000)).when(number >= 946684800000, F.floor(number))).otherwise(iso).cast("long")
 
 
-def trade_identity(explicit: Column, fields: list[Column]) -> Column:
-    """id:<explicit id>, else ck:<sha256 of the fields joined by |>, nulls as empty text."""
-    text = F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+def trade_identity(explicit: Column, fields: list[Column], index: Column | None = None) -> Column:
+    """id:<explicit id>, else ck:<sha256 of the fields joined by |>; nulls and zeros are empty text, but index keeps its 0."""
+    plain = lambda f: F.coalesce(f.cast("string"), F.lit(""))
+    text = F.concat_ws("|", *[F.when(plain(f).isin("0", "0.0"), "").otherwise(plain(f)) for f in fields], *([] if index is None else [plain(index)]))
     return F.when(F.length(explicit.cast("string")) > 0, F.concat(F.lit("id:"), explicit.cast("string"))).otherwise(F.concat(F.lit("ck:"), F.sha2(text, 256)))
 
 
