@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Windows and points of a key meet by the day.
+NEAR_MS = 86_400_000
+
+
+def inside_windows(windows: DataFrame, points: DataFrame, key: str, ms: str) -> DataFrame:
+    """key, start_ms, end_ms, t of the points in each window's [start, end], joined on (key, day)."""
+    day = lambda c: F.floor(F.col(c) / NEAR_MS)
+    w = windows.select(key, "start_ms", "end_ms", F.explode(F.sequence(day("start_ms"), F.greatest(day("start_ms"), day("end_ms")))).alias("_day"))
+    met = w.join(points.select(key, F.col(ms).alias("t"), day(ms).alias("_day")), [key, "_day"])
+    return met.where("t >= start_ms and t <= end_ms").drop("_day")
+
+
 def bucket_coverage(windows: DataFrame, points: DataFrame, key: str, ms: str, bucket_ms: int) -> DataFrame:
     """Share of a window's buckets with a point in [start, end]; the end goes to the last bucket.
 
     Null for an empty window, 0.0 without points.
     """
     n = F.ceil((F.col("end_ms") - F.col("start_ms")) / bucket_ms).cast("long")
-    inside = windows.join(points.select(key, F.col(ms).alias("_t")), key, "left").withColumn("_n", n)
-    hit = (F.col("_t") >= F.col("start_ms")) & (F.col("_t") <= F.col("end_ms"))
-    at = F.when(hit, F.least(F.floor((F.col("_t") - F.col("start_ms")) / bucket_ms), F.col("_n") - 1))
-    out = inside.groupBy(key, "start_ms", "end_ms", "_n").agg(F.count_distinct(at).alias("filled"))
-    return out.select(key, F.col("_n").alias("buckets"), "filled", (F.col("filled") / F.nullif("_n", F.lit(0))).alias("coverage"))
+    at = F.least(F.floor((F.col("t") - F.col("start_ms")) / bucket_ms), n - 1).alias("_at")
+    filled = inside_windows(windows, points, key, ms).select(key, "start_ms", "end_ms", at).distinct().groupBy(key, "start_ms", "end_ms").agg(F.count("*").alias("filled"))
+    out = windows.select(key, "start_ms", "end_ms").distinct().join(filled, [key, "start_ms", "end_ms"], "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    return out.select(key, "start_ms", n.alias("buckets"), "filled", (F.col("filled") / F.nullif(n, F.lit(0))).alias("coverage"))
 
 
 def merged_intervals(intervals: DataFrame, key: str) -> DataFrame:
@@ -32,21 +43,22 @@ def state_coverage(windows: DataFrame, points: DataFrame, key: str, ms: str, hol
     """Share of a window's buckets that lie wholly inside the merged times for which observations hold."""
     held = merged_intervals(points.select(key, F.col(ms).alias("lo_ms"), (F.col(ms) + hold_ms).alias("hi_ms")), key)
     n = F.floor((F.col("end_ms") - F.col("start_ms")) / bucket_ms)
-    met = windows.join(held, key, "left")
+    day = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / NEAR_MS), F.greatest(F.floor(F.col(lo) / NEAR_MS), F.floor(F.col(hi) / NEAR_MS)))).alias("_day")
+    met = windows.select(key, "start_ms", "end_ms", day("start_ms", "end_ms")).join(held.select(key, "lo_ms", "hi_ms", day("lo_ms", "hi_ms")), [key, "_day"]).drop("_day").distinct()
+    met = windows.select(key, "start_ms", "end_ms").distinct().join(met, [key, "start_ms", "end_ms"], "left")
     first = F.ceil((F.greatest("lo_ms", "start_ms") - F.col("start_ms")) / bucket_ms)
     last = F.floor((F.least("hi_ms", "end_ms") - F.col("start_ms")) / bucket_ms)
     whole = F.greatest(F.least(last, n) - first, F.lit(0))
     out = met.groupBy(key, "start_ms", "end_ms").agg(F.sum(F.coalesce(whole, F.lit(0))).cast("long").alias("whole"))
-    return out.select(key, n.alias("buckets"), "whole", (F.col("whole") / F.nullif(n, F.lit(0))).alias("coverage"))
+    return out.select(key, "start_ms", n.alias("buckets"), "whole", (F.col("whole") / F.nullif(n, F.lit(0))).alias("coverage"))
 
 
 def gaps(windows: DataFrame, points: DataFrame, key: str, ms: str, threshold_ms: int) -> DataFrame:
-    """Gaps above the threshold inside each window, the leading and the trailing one included; all of an empty window."""
-    inside = windows.join(points.select(key, F.col(ms).alias("t")), key).where("t >= start_ms and t <= end_ms").select(key, "t")
-    edges = windows.select(key, F.col("start_ms").alias("t")).unionByName(windows.select(key, F.col("end_ms").alias("t")))
-    by = Window.partitionBy(key).orderBy("t")
-    out = inside.unionByName(edges).withColumn("to_ms", F.lead("t").over(by))
-    return out.where(F.col("to_ms") - F.col("t") > threshold_ms).select(key, F.col("t").alias("from_ms"), "to_ms")
+    """key, start_ms, from_ms, to_ms: gaps above the threshold inside each window, the leading and the trailing one included; all of an empty window."""
+    edges = windows.select(key, "start_ms", "end_ms", F.explode(F.array("start_ms", "end_ms")).alias("t"))
+    by = Window.partitionBy(key, "start_ms", "end_ms").orderBy("t")
+    out = inside_windows(windows, points, key, ms).unionByName(edges).withColumn("to_ms", F.lead("t").over(by))
+    return out.where(F.col("to_ms") - F.col("t") > threshold_ms).select(key, "start_ms", F.col("t").alias("from_ms"), "to_ms")
 
 
 def coverage_gate(named: dict[str, Column], least: float = 0.99) -> Column:

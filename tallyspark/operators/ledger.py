@@ -92,6 +92,17 @@ def event_ledger(fills: DataFrame, markets: DataFrame, gap_ms: int, horizon_ms:
     )
 
 
+def prospective_rows(fills: DataFrame, gap_ms: int, horizon_ms: int, least_fills: int) -> DataFrame:
+    """condition_id, label, fills, selection of the markets in fills: BUILT, or COVERAGE_INELIGIBLE for fewer fills than least_fills.
+
+    The same functions as the full ledger on the fills of new markets: markets are whole, so nothing is stitched.
+    """
+    per = fills.groupBy("condition_id").agg(F.count("*").alias("fills"))
+    label = forward_label(fills, first_opposite(episodes(fills, gap_ms), initial_direction(fills)), horizon_ms)
+    selection = F.when(F.col("fills") < least_fills, "COVERAGE_INELIGIBLE").otherwise("BUILT")
+    return per.join(label.select("condition_id", "label"), "condition_id", "left").select("condition_id", "label", "fills", selection.alias("selection"))
+
+
 def connection_intervals(journal: DataFrame, error_closes: bool = True) -> DataFrame:
     """Intervals from connected to the next state change of a session; an open one ends at the last event, or nowhere.
 

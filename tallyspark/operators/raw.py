@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def parse_ticks(messages: DataFrame, text: str) -> DataFrame:
     """Trade messages of JSON lines as ticks; the event time defaults to the trade time. Other kinds and broken lines give no rows."""
-    fields = F.from_json(text, "e string, T bigint, E bigint, p string, q string, t bigint, m boolean, s string")
-    m = messages.withColumn("_m", fields).where("_m.e = 'trade'")
-    return m.select(
-        *[c for c in messages.columns if c != text], F.col("_m.T").alias("exchange_ms"), F.coalesce("_m.E", "_m.T").alias("event_ms"), F.col("_m.p").try_cast("double").alias("price"),
-        F.col("_m.q").try_cast("double").alias("size"), F.col("_m.t").alias("trade_id"), F.col("_m.m").alias("buyer_is_maker"), F.col("_m.s").alias("symbol"),
+    field = lambda name, kind="string": F.get_json_object(text, f"$.{name}").try_cast(kind)  # noqa: E731  names differ by case alone
+    return messages.where(field("e") == "trade").select(
+        *[c for c in messages.columns if c != text], field("T", "long").alias("exchange_ms"), F.coalesce(field("E", "long"), field("T", "long")).alias("event_ms"), field("p", "double").alias("price"),
+        field("q", "double").alias("size"), field("t", "long").alias("trade_id"), field("m", "boolean").alias("buyer_is_maker"), field("s").alias("symbol"),
     )
 
 

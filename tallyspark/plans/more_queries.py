@@ -336,13 +336,6 @@ def up_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fills(spark, sf_dir).select("fill_id", F.round(S.up_price(F.col("outcome"), F.col("price")), 6).alias("up_price"), S.direction(F.col("outcome"), F.col("side")).alias("direction"))
 
 
-@register("p13_depth_imbalance", f"{with_sql('ev', 'book')} SELECT seq, round(3 * value + k % 7 + (2 * k) % 7, 6) AS bid_depth, round(CASE WHEN 3 * value + k % 7 + (2 * k) % 7 > 0 THEN 0.0 END, 6) AS obi FROM book")
-def depth_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of three levels and its imbalance."""
-    bid, ask = S.depth(F.col("bids"), 3), S.depth(F.col("asks"), 3)
-    return X.book(spark, sf_dir).select("seq", F.round(bid, 6).alias("bid_depth"), F.round(S.imbalance(bid, ask), 6).alias("obi"))
-
-
 @register("p15_right_closed", "SELECT l_orderkey, l_linenumber, greatest(ceil(l_discount / 0.02 - 1e-9)::INT - 1, 0) AS bucket FROM lineitem")
 def right_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right-closed buckets of the discount in hundredths."""

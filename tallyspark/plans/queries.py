@@ -302,20 +302,19 @@ def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.matched_controls(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "ms", ["value", "k"], "event_id", "event_id", 3, 48 * HOUR)
 
 
-DAYS = f"days AS (SELECT DISTINCT user_id::VARCHAR AS condition_id, ms // {168 * HOUR} * {168 * HOUR} AS start_ms, ms // {168 * HOUR} * {168 * HOUR} + {168 * HOUR} AS end_ms FROM ev WHERE ms // {168 * HOUR} = (SELECT min(ms) // {168 * HOUR} FROM ev))"
+DAYS = f"days AS (SELECT DISTINCT user_id::VARCHAR AS condition_id, ms // {168 * HOUR} * {168 * HOUR} AS start_ms, ms // {168 * HOUR} * {168 * HOUR} + {168 * HOUR} AS end_ms FROM ev)"
 
 
 def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = X.events(spark, sf_dir)
-    first = e.agg(F.floor(F.min("ms") / (168 * HOUR)).alias("w"))
-    start = (F.col("w") * 168 * HOUR).alias("start_ms")
-    return e.join(F.broadcast(first), F.floor(F.col("ms") / (168 * HOUR)) == F.col("w")).select(F.col("user_id").cast("string").alias("condition_id"), start, (F.col("w") * 168 * HOUR + 168 * HOUR).alias("end_ms")).distinct()
+    """Every feed's weeks with an event."""
+    start = (F.floor(F.col("ms") / (168 * HOUR)) * (168 * HOUR)).cast("long")
+    return X.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("condition_id"), start.alias("start_ms"), (start + 168 * HOUR).alias("end_ms")).distinct()
 
 
-@register("f01_bucket_coverage", f"""{with_sql("ev", "ticks")}, {DAYS} SELECT condition_id, 28::BIGINT AS buckets, count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) AS filled, round(count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) / 28, 6) AS coverage
-FROM days LEFT JOIN ticks USING (condition_id) GROUP BY 1""")
+@register("f01_bucket_coverage", f"""{with_sql("ev", "ticks")}, {DAYS} SELECT condition_id, start_ms, 28::BIGINT AS buckets, count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) AS filled, round(count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) / 28, 6) AS coverage
+FROM days LEFT JOIN ticks USING (condition_id) GROUP BY 1, 2""")
 def bucket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """six-hour buckets of the first week with a tick."""
+    """six-hour buckets of every week with a tick."""
     return coverage.bucket_coverage(_weeks(spark, sf_dir), X.ticks(spark, sf_dir), "condition_id", "exchange_ms", 6 * HOUR).withColumns(r6("coverage"))
 
 
@@ -323,26 +322,26 @@ def bucket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT condition_id, exchange_ms AS lo, exchange_ms + {8 * HOUR} AS hi FROM ticks),
 m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY condition_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM p),
 i AS (SELECT condition_id, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY condition_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM m) GROUP BY condition_id, g),
-b AS (SELECT condition_id, start_ms + n * {2 * HOUR} AS a, start_ms + (n + 1) * {2 * HOUR} AS z FROM days, range(84) t(n))
-SELECT b.condition_id, 84::BIGINT AS buckets, count(i.lo) AS whole, round(count(i.lo) / 84, 6) AS coverage FROM b LEFT JOIN i ON i.condition_id = b.condition_id AND i.lo <= b.a AND i.hi >= b.z GROUP BY 1""")
+b AS (SELECT condition_id, start_ms, start_ms + n * {2 * HOUR} AS a, start_ms + (n + 1) * {2 * HOUR} AS z FROM days, range(84) t(n))
+SELECT b.condition_id, b.start_ms, 84::BIGINT AS buckets, count(i.lo) AS whole, round(count(i.lo) / 84, 6) AS coverage FROM b LEFT JOIN i ON i.condition_id = b.condition_id AND i.lo <= b.a AND i.hi >= b.z GROUP BY 1, 2""")
 def state_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """two-hour buckets wholly inside the merged times of ticks that hold for eight hours."""
     return coverage.state_coverage(_weeks(spark, sf_dir), X.ticks(spark, sf_dir), "condition_id", "exchange_ms", 8 * HOUR, 2 * HOUR).withColumns(r6("coverage"))
 
 
-@register("f04_gaps", f"""{with_sql("ev", "ticks")}, {DAYS}, p AS (SELECT condition_id, exchange_ms AS t FROM ticks JOIN days USING (condition_id) WHERE exchange_ms BETWEEN start_ms AND end_ms UNION ALL SELECT condition_id, start_ms FROM days UNION ALL SELECT condition_id, end_ms FROM days),
-l AS (SELECT condition_id, t AS from_ms, lead(t) OVER (PARTITION BY condition_id ORDER BY t) AS to_ms FROM p) SELECT * FROM l WHERE to_ms - from_ms > {24 * HOUR}""")
+@register("f04_gaps", f"""{with_sql("ev", "ticks")}, {DAYS}, p AS (SELECT condition_id, start_ms, exchange_ms AS t FROM ticks JOIN days USING (condition_id) WHERE exchange_ms BETWEEN start_ms AND end_ms UNION ALL SELECT condition_id, start_ms, start_ms FROM days UNION ALL SELECT condition_id, start_ms, end_ms FROM days),
+l AS (SELECT condition_id, start_ms, t AS from_ms, lead(t) OVER (PARTITION BY condition_id, start_ms ORDER BY t) AS to_ms FROM p) SELECT * FROM l WHERE to_ms - from_ms > {24 * HOUR}""")
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gaps above a day in the first week."""
+    """gaps above a day in every week."""
     return coverage.gaps(_weeks(spark, sf_dir), X.ticks(spark, sf_dir), "condition_id", "exchange_ms", 24 * HOUR)
 
 
-@register("f07_coverage_gate", f"""{with_sql("ev", "ticks")}, {DAYS}, c AS (SELECT condition_id, count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) AS filled FROM days LEFT JOIN ticks USING (condition_id) GROUP BY 1)
-SELECT condition_id, CASE WHEN filled / 28 < 0.3 THEN 'tick_below' ELSE '' END AS reasons, filled >= 0.3::DECIMAL(18, 6) * 28 AS passes FROM c""")
+@register("f07_coverage_gate", f"""{with_sql("ev", "ticks")}, {DAYS}, c AS (SELECT condition_id, start_ms, count(DISTINCT least((exchange_ms - start_ms) // {6 * HOUR}, 27)) FILTER (exchange_ms BETWEEN start_ms AND end_ms) AS filled FROM days LEFT JOIN ticks USING (condition_id) GROUP BY 1, 2)
+SELECT condition_id, start_ms, CASE WHEN filled / 28 < 0.3 THEN 'tick_below' ELSE '' END AS reasons, filled >= 0.3::DECIMAL(18, 6) * 28 AS passes FROM c""")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coverage gates, by doubles and by decimals."""
     c = coverage.bucket_coverage(_weeks(spark, sf_dir), X.ticks(spark, sf_dir), "condition_id", "exchange_ms", 6 * HOUR)
-    return c.select("condition_id", coverage.coverage_gate({"tick": F.col("coverage")}, 0.3).alias("reasons"), coverage.exact_gate(F.col("filled"), F.col("buckets"), "0.3").alias("passes"))
+    return c.select("condition_id", "start_ms", coverage.coverage_gate({"tick": F.col("coverage")}, 0.3).alias("reasons"), coverage.exact_gate(F.col("filled"), F.col("buckets"), "0.3").alias("passes"))
 
 
 @register("f10_percentile_summary", "WITH s AS (SELECT (l_quantity / 50)::DOUBLE AS c FROM lineitem) SELECT count(c) AS n, min(c) AS least, max(c) AS most, round(quantile_cont(c, 0.01), 6) AS p010, round(quantile_cont(c, 0.5), 6) AS p500, round(quantile_cont(c, 0.95), 6) AS p950, round(avg((c >= 0.99)::INT), 6) AS share_99, round(avg((c >= 0.999)::INT), 6) AS share_999 FROM s")

@@ -11,14 +11,23 @@ from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that driver and executors share; one is set only where the session names none."""
+    """A new place in the folder that driver and executors share; a local session that names none gets one, on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows written to the shared folder and read back: lineage ends there, and what is read many times is computed once."""
+    path = shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One JSON object per line; blank lines are skipped, a malformed line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

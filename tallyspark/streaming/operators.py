@@ -58,3 +58,30 @@ def detect_gaps(stream: DataFrame, key: str, seq: str, ms: str, threshold_ms: in
 def run_to_end(out: DataFrame, path: str, checkpoint: str) -> None:
     """Write what a stream yields for all that its source holds now."""
     out.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def validity(stream: DataFrame, key: str, stale_ms: int, least: float, most: float) -> DataFrame:
+    """key, seq, status of a book's events: UNINITIALIZED until both tokens were seen, DESYNCED from a step back in time or a price out of bounds on, STALE after a long silence, else VALID.
+
+    stream: key, seq, ms, token (1 and 2 for the two), price, reset (a reconnect, which starts anew). The state of a
+    connection is its last time, the tokens seen and whether it is desynchronised.
+    """
+    from tallyspark.operators.evidence import validity_states
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, kept = validity_states(frames, state.get if state.exists else None, stale_ms, least, most)
+        last, seen, bad = kept
+        state.update((last if last is not None else -1, int(seen), bool(bad)))
+        yield pd.DataFrame([(k[0], *r) for r in rows], columns=[key, "seq", "status"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, status string", "last long, seen int, bad boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def refresh(stream: DataFrame, derive, path: str, checkpoint: str) -> None:
+    """Keep a derived table of partial sums: every micro-batch adds derive(batch) under its own number, so a batch that runs again replaces itself."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        derive(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
