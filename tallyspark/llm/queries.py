@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.fingerprints import edited_fingerprints, fingerprint, likeness
 from tallyspark.llm.jaccard_join import jaccard_join
 from tallyspark.llm.language_id import identify
-from tallyspark.llm.license_scan import scan
+from tallyspark.llm.license_scan import CUE, LEAST_COSINE, LICENCE_SHARE, NOTICES, TEXTS, TOKEN, scan, spdx
 from tallyspark.llm.lm_scoring import score_texts
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.packing import pack
 from tallyspark.llm.sharding import shard_rows
 from tallyspark.llm.topk import exact_topk
-from tallyspark.llm.url_filter import BAD_SHARE, BOUND_Z, PRIOR_WEIGHT, RULES, url_filter
+from tallyspark.llm.url_filter import BAD_RATIO, BOUND_Z, LEAST_WEIGHT, MOST_SHARE, MOST_WEIGHT, RULES, SUFFIXES, url_filter
 
 #: Id that closes each packed document.
 END_ID = 2
@@ -43,11 +43,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents; a document's path is its source, then its id by thousands."""
+    """Licences of all documents; a document's path is its source, its id by thousands, then by hundreds; one that is mainly a notice stands for its folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none"))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), folder, F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
-    found = scan(docs.select(path.alias("path"), "text"))
+    folder = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("none"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), folder(1000), folder(100), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    found = scan(docs.select(path.alias("path"), "text"), share=LICENCE_SHARE)
     doc_id = F.regexp_extract("path", r"/(-?[0-9]+)\.txt$", 1)
     return found.select(F.when(doc_id != "", doc_id.cast("long")).alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "inherited_from")
 
@@ -108,9 +108,59 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join)}
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _tok(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{TOKEN}')"
+
+
+_NAMES = [n for n, _ in [*NOTICES, *TEXTS]]
+_TEMPLATE_ROWS = ", ".join(f"({i}, {_text(n)}, {_text(t)}, {short})" for i, (n, t, short) in enumerate([*[(*x, True) for x in NOTICES], *[(*x, False) for x in TEXTS], *[(*x, True) for x in spdx(_NAMES)]]))
+_CUE = CUE.removeprefix("(?i)")
+
 ORACLES = {
+    "op3_license_scan": rf"""
+WITH f AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce((doc_id // 1000)::VARCHAR, 'none') || '/' || coalesce((doc_id // 100)::VARCHAR, 'none') || '/' || coalesce(doc_id::VARCHAR, 'none') || '.txt' AS path,
+  coalesce(source, 'none') || '/' || coalesce((doc_id // 1000)::VARCHAR, 'none') || '/' || coalesce((doc_id // 100)::VARCHAR, 'none') AS folder, coalesce(text, '') AS text, {_tok("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT i, licence, {_tok("txt")} AS w, short, starts_with(txt, 'SPDX-') AS tag FROM (VALUES {_TEMPLATE_ROWS}) v(i, licence, txt, short)),
+need AS (SELECT DISTINCT i, u.token FROM t, LATERAL (SELECT unnest(w) AS token) u WHERE short AND (tag OR regexp_full_match(u.token, '[0-9]+([.][0-9]+)?'))),
+lens AS (SELECT DISTINCT len(w) AS n FROM t WHERE short),
+known AS (SELECT DISTINCT unnest(w) AS token FROM t),
+total AS (SELECT count(*) AS n FROM f),
+df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, path, unnest(w) AS token FROM f) JOIN known USING (token) GROUP BY 1),
+idf AS (SELECT token, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1 AS idf FROM known LEFT JOIN df USING (token), total),
+c AS (SELECT * FROM f WHERE regexp_matches(text, '{_CUE}', 'i')),
+cue AS (SELECT path, w, u.i FROM c, LATERAL (SELECT unnest(range(len(w))) AS i) u WHERE regexp_matches(w[u.i + 1], '{_CUE}', 'i')),
+win AS (SELECT DISTINCT path, w, n, u.s FROM cue, lens, LATERAL (SELECT unnest(range(greatest(i - n + 1, 0), i + 1)) AS s) u),
+p AS (SELECT path, u.x AS text FROM c, LATERAL (SELECT unnest(string_split(text, chr(10))) AS x) u WHERE regexp_matches(u.x, '{_CUE}', 'i')
+  UNION SELECT path, u.x FROM c, LATERAL (SELECT unnest(regexp_split_to_array(text, '
+[ 	]*
+')) AS x) u WHERE regexp_matches(u.x, '{_CUE}', 'i')
+  UNION SELECT path, text FROM c UNION SELECT path, array_to_string(w[s + 1:s + n], ' ') FROM win),
+d AS (SELECT DISTINCT text FROM p),
+tf AS (SELECT text, token, count(*) AS tf FROM (SELECT text, unnest({_tok("text")}) AS token FROM d) GROUP BY ALL),
+wt AS (SELECT text, token, tf * coalesce(idf, ln(n + 1.0) + 1) AS x, idf IS NOT NULL AS known FROM tf LEFT JOIN idf USING (token), total),
+ours AS (SELECT text, token, x / sqrt(sum(x * x) OVER (PARTITION BY text)) AS x, known FROM wt),
+tt AS (SELECT i, token, count(*) AS tf FROM (SELECT i, unnest(w) AS token FROM t) GROUP BY ALL),
+tw AS (SELECT i, token, tf * idf AS x FROM tt JOIN idf USING (token)),
+theirs AS (SELECT i, token, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS x FROM tw),
+sc AS (SELECT o.text, th.i, round(sum(o.x * th.x), 9) AS score FROM ours o JOIN theirs th USING (token) GROUP BY ALL HAVING round(sum(o.x * th.x), 9) >= {LEAST_COSINE}),
+ok AS (SELECT sc.text, sc.score, t.licence FROM sc JOIN t USING (i) WHERE NOT EXISTS (SELECT 1 FROM need WHERE need.i = sc.i AND need.token NOT IN (SELECT token FROM tf WHERE tf.text = sc.text))),
+b AS (SELECT text, min(struct_pack(s := -score, licence := licence)) AS b FROM ok GROUP BY 1),
+piece AS (SELECT p.path, min(struct_pack(b := b.b, n := len({_tok("p.text")}), w := len(f.w))) AS p FROM p JOIN b USING (text) JOIN f ON f.path = p.path GROUP BY 1),
+best AS (SELECT path, p.b AS b, p.n >= {LICENCE_SHARE} * p.w AS covers FROM piece),
+licensed AS (SELECT folder, min(best.b.licence) AS inherited FROM best JOIN f USING (path) WHERE covers GROUP BY 1),
+up AS (SELECT x.folder, max(struct_pack(l := length(l.folder), folder := l.folder, inherited := l.inherited)) AS n FROM (SELECT DISTINCT folder FROM f) x JOIN licensed l ON x.folder = l.folder OR starts_with(x.folder, l.folder || '/') GROUP BY 1)
+SELECT f.doc_id, f.path, coalesce(best.b.licence, up.n.inherited) AS licence, round(-best.b.s, 6) AS score, CASE WHEN best.path IS NULL THEN up.n.folder END AS inherited_from
+FROM f LEFT JOIN best ON best.path = f.path LEFT JOIN up ON up.folder = f.folder
+""",
     "op4_url_filter": f"""
 WITH p AS (
   SELECT page_id, url,
@@ -119,17 +169,23 @@ WITH p AS (
   FROM pages),
 o AS (SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels l ON l.doc_id = p.page_id
       WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL),
-h AS (SELECT host, count(*) AS n, sum(bad) AS bad, regexp_extract(host, '([^.]+\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM o GROUP BY host),
+l AS (SELECT host, string_split(host, '.') AS l, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host),
+h AS (SELECT host, n, bad, array_to_string(l[greatest(len(l) - k + 1, 1):], '.') AS suffix, array_to_string(l[greatest(len(l) - k, 1):], '.') AS domain
+      FROM (SELECT *, CASE WHEN array_to_string(l[greatest(len(l) - 1, 1):], '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END AS k FROM l)),
 a AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS p_all FROM h),
-s AS (SELECT suffix, (sum(bad) + {PRIOR_WEIGHT} * max(p_all)) / (sum(n) + {PRIOR_WEIGHT}) AS p_suffix FROM h, a GROUP BY suffix),
-d AS (SELECT domain, (sum(bad) + {PRIOR_WEIGHT} * max(p_suffix)) / (sum(n) + {PRIOR_WEIGHT}) AS p_domain FROM h JOIN s USING (suffix) GROUP BY domain),
-m AS (SELECT host, n, (bad + {PRIOR_WEIGHT} * p_domain) / (n + {PRIOR_WEIGHT}) AS mean FROM h JOIN d USING (domain)),
-b AS (SELECT host, mean - {BOUND_Z} * sqrt(mean * (1 - mean) / (n + {PRIOR_WEIGHT} + 1)) AS low FROM m),
+g AS (SELECT 'suffix' AS level, suffix AS g, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix UNION ALL SELECT 'domain', domain, sum(n), sum(bad) FROM h GROUP BY domain UNION ALL SELECT 'host', host, n, bad FROM h),
+gp AS (SELECT level, sum(bad) / sum(n) AS p FROM g GROUP BY 1),
+gq AS (SELECT level, any_value(p) * (1 - any_value(p)) AS noise, (sum(n * (bad / n - p) * (bad / n - p)) - (count(*) - 1) * any_value(p) * (1 - any_value(p))) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS v FROM g JOIN gp USING (level) GROUP BY 1),
+gw AS (SELECT level, CASE WHEN round(v, 12) > 0 THEN least(greatest(noise / v - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) ELSE {MOST_WEIGHT} END AS w FROM gq),
+s AS (SELECT g AS suffix, (bad + w * p_all) / (n + w) AS p_suffix FROM g JOIN gw USING (level), a WHERE level = 'suffix'),
+d AS (SELECT g AS domain, (bad + w * p_suffix) / (n + w) AS p_domain FROM g JOIN gw USING (level) JOIN (SELECT DISTINCT domain, suffix FROM h) x ON x.domain = g.g JOIN s USING (suffix) WHERE level = 'domain'),
+m AS (SELECT host, n, w, (bad + w * p_domain) / (n + w) AS mean FROM h JOIN d USING (domain), gw WHERE level = 'host'),
+b AS (SELECT host, round(mean - {BOUND_Z} * sqrt(mean * (1 - mean) / (n + w + 1)), 9) AS low, round(least({BAD_RATIO} * p_all, {MOST_SHARE}), 9) AS cut FROM m, a),
 r AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(verdict, h, path)),
 f AS (SELECT page_id, p.url, max(struct_pack(l := length(r.h || r.path), rule := r.h || r.path, verdict := r.verdict)) AS best
       FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.path) GROUP BY page_id, p.url)
 SELECT p.page_id, p.host, p.path, f.best.rule AS rule,
-       coalesce(f.best.verdict, CASE WHEN b.low > {BAD_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(f.best.verdict, CASE WHEN b.low > b.cut THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f ON f.page_id = p.page_id AND f.url = p.url LEFT JOIN b ON b.host = p.host
 """,
     "op7_topk": """

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Weight of a level's prior in observations, z of the bound, and the bad share from which a host is blocked.
-PRIOR_WEIGHT, BOUND_Z, BAD_SHARE = 20.0, 1.645, 0.5
+#: Least and greatest weight of a level's prior, z of the bound, and the multiple of the overall bad share (at most MOST_SHARE) above which a host is blocked.
+LEAST_WEIGHT, MOST_WEIGHT, BOUND_Z, BAD_RATIO, MOST_SHARE = 1.0, 1000.0, 1.645, 1.5, 0.95
+#: Public suffixes of two labels.
+SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "co.nz", "co.za"]
 
 
 def url_host(url: Column) -> Column:
@@ -35,45 +37,57 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def host_levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last label of a host."""
+    """(registered domain, suffix): the suffix is a host's last label, or its last two if SUFFIXES has them; the domain has one label more."""
     labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domain = F.when(n >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(host)
-    return domain, F.element_at(labels, -1)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), ".")
+    two = last(2).isin(SUFFIXES)
+    return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
 
 
-def _shrunk(bad, n, prior, weight: float):
+def _shrunk(bad, n, prior, weight):
     return (bad + weight * prior) / (n + weight)
 
 
-def host_reputation(outcomes: DataFrame, prior_weight: float = PRIOR_WEIGHT, z: float = BOUND_Z) -> DataFrame:
-    """host, n, bad, mean, low from outcomes (host string, bad 0/1).
+def prior_weight(groups: DataFrame) -> DataFrame:
+    """One row: the strength of a beta prior for groups (n, bad), by moments: p(1 - p) / (variance between groups) - 1, within bounds."""
+    whole = groups.agg((F.sum("bad") / F.sum("n")).alias("p"))
+    n, share = F.col("n"), F.col("bad") / F.col("n")
+    sums = groups.crossJoin(F.broadcast(whole)).agg(F.first("p").alias("p"), F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(n * n).alias("squares"), F.sum(n * (share - F.col("p")) * (share - F.col("p"))).alias("q"))
+    noise = F.col("p") * (1 - F.col("p"))
+    between = (F.col("q") - (F.col("k") - 1) * noise) / F.nullif(F.col("total") - F.col("squares") / F.col("total"), F.lit(0.0))
+    weight = F.when(F.round(between, 12) > 0, F.least(F.greatest(noise / between - 1, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))).otherwise(F.lit(MOST_WEIGHT))
+    return sums.select(weight.alias("weight"))
+
+
+def host_reputation(outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
+    """host, n, bad, mean, low, cut from outcomes (host string, bad 0/1).
 
     mean is the posterior mean of the bad share, low its lower bound by the normal approximation of the
-    beta posterior. Only hosts with outcomes are listed; rows with null bad are left out.
+    beta posterior, cut the share above which low blocks. The strength of each level's prior comes from how
+    much its groups differ. Only hosts with outcomes are listed; rows with null bad are left out.
     """
     domain, suffix = host_levels(F.col("host"))
     hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     whole = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p_all"))
-    level = lambda key: hosts.groupBy(key).agg(F.sum("n").alias(f"n_{key}"), F.sum("bad").alias(f"bad_{key}"))
-    suffixes = level("suffix").join(F.broadcast(whole)).select("suffix", _shrunk(F.col("bad_suffix"), F.col("n_suffix"), F.col("p_all"), prior_weight).alias("p_suffix"))
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n_domain"), F.sum("bad").alias("bad_domain"))
-    domains = domains.join(suffixes, "suffix").select("domain", _shrunk(F.col("bad_domain"), F.col("n_domain"), F.col("p_suffix"), prior_weight).alias("p_domain"))
-    a = F.col("bad") + prior_weight * F.col("p_domain")
-    total = F.col("n") + prior_weight
-    mean = a / total
-    sd = F.sqrt(mean * (1 - mean) / (total + 1))
-    return hosts.join(domains, "domain").select("host", "n", "bad", mean.alias("mean"), (mean - z * sd).alias("low"))
-
-
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | None = None, bad_share: float = BAD_SHARE) -> DataFrame:
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    with_weight = lambda level: level.crossJoin(F.broadcast(prior_weight(level)))
+    suffixes = with_weight(suffixes).crossJoin(F.broadcast(whole)).select("suffix", "p_all", _shrunk(F.col("bad"), F.col("n"), F.col("p_all"), F.col("weight")).alias("p_suffix"))
+    domains = with_weight(domains).join(suffixes, "suffix").select("domain", "p_all", _shrunk(F.col("bad"), F.col("n"), F.col("p_suffix"), F.col("weight")).alias("p_domain"))
+    mean = _shrunk(F.col("bad"), F.col("n"), F.col("p_domain"), F.col("weight"))
+    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("weight") + 1))
+    out = with_weight(hosts).join(domains, "domain").withColumn("mean", mean)
+    return out.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("low"), F.least(BAD_RATIO * F.col("p_all"), F.lit(MOST_SHARE)).alias("cut"))
+
+
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_share_low for every row of pages.
 
     pages: page_id, url. outcomes: page_id, bad (0/1), labelled outcomes of some pages; several
     outcomes of a page all count. A url matched by rules has the verdict of the longest one (of equal
     length the later rule text). Other urls are blocked if the lower bound of their host's bad share is
-    above bad_share; hosts without outcomes are allowed.
+    above BAD_RATIO times the overall one; hosts without outcomes are allowed.
 
     A url that is null or has no :// has an empty host and path. Null page_id rows have no outcomes.
     Repeated rows are judged each. Empty tables give no rows, or no reputations. Other columns are ignored.
@@ -82,9 +96,9 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     judged = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     labels = outcomes.select(F.col("page_id").alias("label_id"), F.col("bad").cast("int").alias("bad"))
     seen = judged.join(labels, judged["page_id"] == labels["label_id"]).select("host", "bad")
-    standing = host_reputation(seen).select(F.col("host").alias("known_host"), "low")
+    standing = host_reputation(seen).select(F.col("host").alias("known_host"), "low", "cut")
     judged = judged.join(standing, judged["host"] == standing["known_host"], "left")
     found = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("found", found)
-    own = F.when(F.col("low") > bad_share, "block").otherwise("allow")
+    own = F.when(F.round("low", 9) > F.round("cut", 9), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), F.col("low").alias("bad_share_low"))

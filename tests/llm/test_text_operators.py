@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tallyspark.llm import attention as A
 from tallyspark.llm.fingerprints import edited_fingerprints, fingerprint, fingerprints, likeness
 from tallyspark.llm.language_id import identify
+from tallyspark.llm import license_scan as L
 from tallyspark.llm.license_scan import scan
 from tallyspark.llm.lm_scoring import _count, score_texts
 from tallyspark.llm.queries import ORACLES, QUERIES, tokenizer_path
-from tallyspark.llm.url_filter import host_reputation, url_filter
+from tallyspark.llm.url_filter import host_levels, host_reputation, prior_weight, url_filter
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +181,33 @@ def test_lm_scores_do_not_depend_on_what_is_held(spark, monkeypatch):
         monkeypatch.setattr(L, "PIECE_PAIRS", pairs)
         few.append(run())
     assert few[0] == few[1] and len(whole) == len(few[0])
+
+
+def test_whole_licences_and_headers(spark):
+    """Full texts and headers are named with and without titles and tags; an opening that two licences share decides nothing alone."""
+    full = {}
+    for name, text in L.TEXTS:
+        if len(text) > len(full.get(name, "")):
+            full[name] = text
+    wrap = lambda t: "\n".join("// " + t[i : i + 70] for i in range(0, len(t), 70))  # noqa: E731  lines cut inside words too
+    lines = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    files = [(f"{n}/plain/x.c", t, n) for n, t in full.items()] + [(f"{n}/lines/x.c", lines(t), n) for n, t in full.items()]
+    files += [(f"{n}/titled/x.c", f"{n} License\n\nCopyright (c) 2020 Some Body\n\n{t}", n) for n, t in full.items() if n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    code = "\n".join(f"int f{i}(int a{i}) {{ return a{i} * {i}; }}" for i in range(60))
+    files += [(f"{n}/code/x.c", f"/*\n{lines(t)}\n */\n\n{code}", n) for n, t in full.items() if n in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "MIT")]
+    files += [(f"tag{i}/x.c", f"// SPDX-License-Identifier: {n}\n{code}", n) for i, n in enumerate(full)] + [("none/x.c", code, None), ("none/y.txt", "words of no use here " * 50, None)]
+    got = {r["path"]: r["licence"] for r in scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert {p: got[p] for p, _, n in files if got[p] != n} == {}
+    assert wrap("a") == "// a"
+
+
+def test_suffixes_and_prior_strength(spark):
+    hosts = spark.createDataFrame([("a.b.example.co.uk",), ("example.co.uk",), ("x.example.com",), ("localhost",), ("co.uk",)], "h string")
+    domain, suffix = host_levels(F.col("h"))
+    assert [tuple(r) for r in hosts.select(domain, suffix).collect()] == [("example.co.uk", "co.uk"), ("example.co.uk", "co.uk"), ("example.com", "com"), ("localhost", "localhost"), ("co.uk", "co.uk")]
+    alike = prior_weight(spark.createDataFrame([(10, 2)] * 50, "n long, bad long")).first()["weight"]
+    apart = prior_weight(spark.createDataFrame([(10, 0), (10, 10)] * 25, "n long, bad long")).first()["weight"]
+    rng = np.random.default_rng(0)
+    drawn = [(30, int(rng.binomial(30, rng.beta(4, 12)))) for _ in range(400)]
+    fitted = prior_weight(spark.createDataFrame(drawn, "n long, bad long")).first()["weight"]
+    assert alike == 1000 and apart == 1 and 11 < fitted < 23
