@@ -1,11 +1,11 @@
 """Exact top-k inner products by a three-phase uniform threshold over slices of the vectors.
 
-A score is the sum of partial scores over m slices of the components. Phase 1: every group of
-candidates sends, per query, its best entries by any slice with their scores; the k-th best of all is
-a cutoff t that no answer falls below. Phase 2: t goes back with the queries; an answer has a partial
-score of t/m or more in some slice, so only such entries are collected, and of those only the ones
-whose known partial scores, with t/m for the others, can reach t. Phase 3: what is left is resolved
-exactly.
+A score is the sum of partial scores over m slices of the components. Phase 1: every query scores one
+block of candidates, its home; the k-th best is a cutoff t that no answer falls below. Phase 2: t goes with
+the query to all blocks. A block is skipped if the norms of its slices cannot reach t; in the others an
+answer has a partial score of t/m or more in some slice, and candidates are dropped as soon as their known
+partial scores with bounds of the other slices stay below t. Phase 3: the slices still unknown are
+computed for those that are left, so their scores are exact.
 """
 
 from __future__ import annotations
@@ -58,35 +58,66 @@ def _saturated(x) -> int:
     return max(-(2**63), min(2**63 - 1, int(x)))
 
 
-def _phase(k: int, m: int, with_cutoff: bool):
+def survivors(q: np.ndarray, c: np.ndarray, cut: np.ndarray, m: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(places, exact scores) per query of the candidates that reach its cutoff, and how many slice products were computed.
+
+    q, c: integers as doubles whose inner products are exact; bounds allow for the rounding of norms.
+    """
+    parts = np.array_split(np.arange(q.shape[1]), m)
+    norm_q, norm_c = (np.stack([np.linalg.norm(x[:, a], axis=1) for a in parts], axis=1) for x in (q, c))
+    grow = 1 + 1e-9
+    out, products = [], 0
+    open_ = np.flatnonzero((norm_q @ norm_c.max(axis=0)) * grow + 1 >= cut)
+    found = {}
+    if len(open_):
+        first = q[open_][:, parts[0]] @ c[:, parts[0]].T
+        products += first.size
+        rest = norm_q[open_][:, 1:] @ norm_c[:, 1:].T
+        for row, i in enumerate(open_.tolist()):
+            known, bound = first[row], rest[row]
+            left = np.flatnonzero(known + bound * grow + 1 >= cut[i])
+            known, bound = known[left], bound[left]
+            best = known
+            for s in range(1, m):
+                part = c[left][:, parts[s]] @ q[i, parts[s]]
+                products += len(left)
+                known, best = known + part, np.maximum(best, part)
+                bound = bound - norm_q[i, s] * norm_c[left, s]
+                keep = known + np.maximum(bound, 0) * grow + 1 >= cut[i]
+                if s == m - 1:
+                    keep = (known >= cut[i]) & (best * m >= cut[i])
+                left, known, bound, best = left[keep], known[keep], bound[keep], best[keep]
+            found[i] = (left, known)
+    none = np.zeros(0, np.int64), np.zeros(0)
+    for i in range(len(q)):
+        out.append(found.get(i, none))
+    return out, products
+
+
+def _phase(k: int, m: int):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         width = max([len(v) for v in queries["q_vector"]] + [len(v) for v in candidates["vector"]], default=0)
         if len(queries) and len(candidates):
             ids, q_ids = candidates["vec_id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
             c, q = _matrix(candidates["vector"], width), _matrix(queries["q_vector"], width)
-            cut = queries["cutoff"].to_numpy() if with_cutoff else None
+            cuts = queries["cutoff"].to_numpy(dtype=object)
+            small = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, width) < 2.0**53
+            known = np.array([x is not None and not pd.isna(x) for x in cuts])
             for i in range(0, len(q), AT_ONCE):
-                parts = _slices(q[i : i + AT_ONCE], c, m)
-                total = sum(parts[1:], parts[0])
-                for r in range(len(total)):
-                    own = ids == q_ids[i + r]
-                    if not with_cutoff:
-                        near = min(len(ids), k + 1)
-                        lists = [np.argpartition(-p[r], near - 1)[:near] if p.dtype != object else np.arange(len(ids)) for p in parts]
-                        some = np.unique(np.concatenate(lists))
-                    elif pd.isna(cut[i + r]):
-                        some = np.arange(len(ids))
-                    else:
-                        t = int(cut[i + r])
-                        high = [p[r] * m >= t for p in parts]
-                        some = np.flatnonzero(np.logical_or.reduce(high))
-                        most = sum(np.where(h[some], p[r][some] * m, t) for h, p in zip(high, parts, strict=True))
-                        some = some[most >= t * m]
-                    some = some[~own[some]]
-                    score = total[r][some]
-                    if with_cutoff and not pd.isna(cut[i + r]):
-                        some, score = some[score >= int(cut[i + r])], score[score >= int(cut[i + r])]
+                n = min(AT_ONCE, len(q) - i)
+                if small and known[i : i + n].all():
+                    got, _ = survivors(q[i : i + n], c, np.array([float(x) for x in cuts[i : i + n]]), m)
+                else:
+                    parts = _slices(q[i : i + n], c, m)
+                    total = sum(parts[1:], parts[0])
+                    got = [(np.arange(len(ids)), total[r]) for r in range(n)]
+                for r, (some, score) in enumerate(got):
+                    own = ids[some] == q_ids[i + r]
+                    some, score = some[~own], score[~own]
+                    if len(some) > 4 * k and score.dtype != object:  # all that reach the k-th best, ties with it
+                        least = np.partition(score, len(score) - k)[len(score) - k]
+                        some, score = some[score >= least], score[score >= least]
                     for j in _best(score, ids[some], k):
                         out.append((int(q_ids[i + r]), int(ids[some[j]]), _saturated(score[j])))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
@@ -109,16 +140,16 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, slice
     n_queries = queries.count()
     q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     c_blocks = max(c_blocks, min(24, -(-n // 512)))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    cand = rows.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int")).withColumn("q_block", blocks)
+    cand = rows.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int"))
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def meet(q: DataFrame, with_cutoff: bool) -> DataFrame:
-        q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-        q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-        met = q.groupBy("qb", "cb").cogroup(cand.groupBy("q_block", "c_block")).applyInPandas(_phase(k, slices, with_cutoff), "query_id long, vec_id long, score long")
+    def meet(q: DataFrame, c: DataFrame) -> DataFrame:
+        met = q.groupBy("qb", "cb").cogroup(c.groupBy("q_block", "c_block")).applyInPandas(_phase(k, slices), "query_id long, vec_id long, score long")
         return met.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
-    first = meet(queries, False).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cutoff")).where(F.col("n") == k)
-    second = meet(queries.join(first.select("query_id", "cutoff"), "query_id", "left"), True)
+    home = queries.select("*", F.lit(None).cast("long").alias("cutoff"), F.lit(0).alias("qb"), F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(c_blocks)).cast("int").alias("cb"))
+    first = meet(home, cand.withColumn("q_block", F.lit(0))).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cutoff")).where(F.col("n") == k)
+    everywhere = queries.join(first.select("query_id", "cutoff"), "query_id", "left").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    everywhere = everywhere.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    second = meet(everywhere, cand.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
     return second.select("query_id", "rank", "vec_id", "score")

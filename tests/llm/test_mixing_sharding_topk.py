@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.mixing import mix, permuted, water_fill
 from tallyspark.llm.sharding import ring, settle, shard_rows
-from tallyspark.llm.topk import exact_topk
+from tallyspark.llm.topk import exact_topk, survivors
 
 
 def test_permutations_and_targets():
@@ -96,3 +96,19 @@ def test_topk(spark):
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:5])]
     assert [g for g in got if g[0] != 400] == [w for w in sorted(want) if w[0] != 400]
     assert exact_topk(df.where("false"), lambda i: i % 50 == 0).count() == 0
+
+
+def test_cutoffs_save_products():
+    """On vectors in groups a cutoff leaves few candidates to resolve; what is left is exact."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (40, 64))
+    c = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 64))))
+    q = c[::50]
+    scores = q @ c.T
+    cut = np.sort(scores, axis=1)[:, -6]
+    got, products = survivors(q, c, cut, 4)
+    for i, (places, known) in enumerate(got):
+        want = np.flatnonzero(scores[i] >= cut[i])
+        assert sorted(places.tolist()) == want.tolist() and (np.sort(known) == np.sort(scores[i, want])).all()
+    assert products < 0.5 * 4 * scores.size
+    assert survivors(q, c, np.full(len(q), 1e12), 4)[1] == 0
