@@ -12,6 +12,7 @@ from tallyspark.llm.license_scan import CUE, LEAST_COSINE, LICENCE_SHARE, NOTICE
 from tallyspark.llm.lm_scoring import score_texts
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.packing import pack
+from tallyspark.llm.quality_rules import judge
 from tallyspark.llm.sharding import shard_rows
 from tallyspark.llm.topk import exact_topk
 from tallyspark.llm.url_filter import BAD_RATIO, BOUND_Z, LEAST_WEIGHT, MOST_SHARE, MOST_WEIGHT, RULES, SUFFIXES, url_filter
@@ -106,7 +107,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, and which a cascade of quality rules keeps."""
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join, op13_quality_rules)}
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
@@ -207,5 +214,22 @@ l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x AS doc_id, x AS reached FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
 SELECT n.doc_id, n.n_shingles, coalesce(min(r.reached), n.doc_id) AS component_id FROM n LEFT JOIN r USING (doc_id) GROUP BY n.doc_id, n.n_shingles
+""",
+    "op13_quality_rules": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM (SELECT r, u.i, ws[u.i:u.i + 7] AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 6)) AS i) u)),
+p AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k.j AS at FROM g, (SELECT unnest(range(8)) AS j) k WHERE g.k > 1) GROUP BY 1),
+c AS (SELECT w.*, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p USING (r)),
+f AS (SELECT *, coalesce(chars, 0)::BIGINT AS word_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  list_transform(ws, lambda x: regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}')) AS loud FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 4 > n_words OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words OR n_dup_lines * 10 > n_lines * 3
+    OR len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣][\x20\x09]'))) * 10 > n_lines * 9
+    OR len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) * 10 > n_lines * 3
+    OR len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) * 10 < n_words * 6
+    OR len(list_filter(loud, lambda x: x)) * 10 > n_words * 4 OR len(list_distinct(ws)) * 50 < least(n_words, 1000)) AS kept
+FROM f
 """,
 }
