@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import WORD
+from tallyspark.llm.conversation_repair import digests, repair
 from tallyspark.llm.fingerprints import edited_fingerprints, fingerprint, likeness
 from tallyspark.llm.jaccard_join import jaccard_join
 from tallyspark.llm.language_id import identify
@@ -12,6 +14,7 @@ from tallyspark.llm.license_scan import CUE, LEAST_COSINE, LICENCE_SHARE, NOTICE
 from tallyspark.llm.lm_scoring import score_texts
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.packing import pack
+from tallyspark.llm.periodic_runs import periodic_runs
 from tallyspark.llm.quality_rules import judge
 from tallyspark.llm.sharding import shard_rows
 from tallyspark.llm.topk import exact_topk
@@ -107,13 +110,58 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty); where crc32(doc_id) is divisible by 10, words from a place on repeat with a period. A null id plants none."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = rows.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
+    n, g = F.size("_words").cast("long"), F.floor(F.col("_h") / 10)
+    rows = rows.withColumn("_at", F.when(n > 0, g % n)).withColumn("_period", F.when(n > 0, 1 + F.floor((n - F.col("_at")) / (3 + g % 8))))
+    place = lambda i: F.when(i < F.col("_at"), i).otherwise(F.col("_at") + (i - F.col("_at")) % F.col("_period")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", place(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, some of them with planted periods, and what stays when runs keep their first period."""
+    rows = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = -best["back"], best["length"], -best["less"]
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given to the user, by a checksum of conversation and turn."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), (F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20).alias("_k"))
+    k = F.col("_k")
+    rows = rows.where(k != 0).withColumn("_copy", F.explode(F.when(k == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    text = F.when(k == 1, "").when(k == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(k == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repairs."""
+    rows = table(spark, sf_dir, "conversations")
+    turns, report = repair(damaged(rows))
+    ids = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = report.withColumnRenamed("conv_id", "_c").join(digests(turns).withColumnRenamed("conv_id", "_d"), F.col("_c").eqNullSafe(F.col("_d")), "left")
+    out = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, and which a cascade of quality rules keeps."""
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join, op13_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_license_scan, op4_url_filter, op5_language_id, op6_mixing, op7_topk, op8_fingerprints, op9_sharding, op10_jaccard_join, op11_periodic_runs, op12_conversation_repair, op13_quality_rules)}
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
@@ -214,6 +262,36 @@ l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x AS doc_id, x AS reached FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
 SELECT n.doc_id, n.n_shingles, coalesce(min(r.reached), n.doc_id) AS component_id FROM n LEFT JOIN r USING (doc_id) GROUP BY n.doc_id, n.n_shingles
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS bytes FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM o, tab),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+f AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS pair FROM n),
+said(s, t) AS (VALUES (0, 2), (1, 2), (3, 2), (2, 3)),
+added AS (SELECT s, s AS t, '' AS a FROM (VALUES (0), (1), (2), (3)) v(s) UNION ALL SELECT s, t, 'I' FROM said UNION ALL SELECT x.s, y.t, 'II' FROM said x JOIN said y ON y.s = x.t),
+moves AS (SELECT 'D' AS e, s, s AS t, 3 AS price, '' AS c FROM (VALUES (0), (1), (2), (3)) v(s) UNION ALL SELECT 'R', s, t, 2, '' FROM said UNION ALL SELECT 'K', s, t, 0, CASE t WHEN 2 THEN 'u' ELSE 'a' END FROM said UNION ALL SELECT 'K', 0, 1, 0, 's'),
+ends AS (SELECT conv_id, max(i) AS n FROM f GROUP BY 1),
+p AS (SELECT conv_id, 0::BIGINT AS i, t AS s, struct_pack(cost := 2 * length(a), audit := a) AS v FROM ends, added WHERE s = 0
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, w.t, min(struct_pack(cost := p.v.cost + m.price + 2 * length(w.a) + CASE WHEN f.fault = 'truncated' AND m.e <> 'D' THEN 1 ELSE 0 END, audit := p.v.audit || m.e || w.a))
+  FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN moves m ON m.s = p.s AND (m.e = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.e = 'R' OR m.c = f.c)) JOIN added w ON w.s = m.t
+  GROUP BY p.conv_id, p.i, w.t),
+best AS (SELECT p.conv_id, min(p.v) AS v FROM p JOIN ends ON ends.conv_id IS NOT DISTINCT FROM p.conv_id AND ends.n = p.i WHERE p.s IN (0, 3) GROUP BY 1),
+edit AS (SELECT conv_id, u.k, v.audit[u.k] AS e, length(replace(left(v.audit, u.k), 'I', '')) AS i, length(replace(left(v.audit, u.k - 1), 'D', '')) AS m, length(v.audit) - length(ltrim(v.audit, 'D')) AS lead FROM best, LATERAL (SELECT unnest(range(1, length(v.audit) + 1)) AS k) u),
+head AS (SELECT edit.conv_id, edit.e = 'K' AND f.c = 's' AS s FROM edit JOIN f ON f.conv_id IS NOT DISTINCT FROM edit.conv_id AND f.i = edit.i WHERE edit.k = edit.lead + 1),
+line AS (SELECT edit.conv_id, edit.k, CASE WHEN e = 'K' THEN f.role WHEN (m + CASE WHEN head.s THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END AS line
+  FROM edit LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM edit.conv_id AND f.i = edit.i LEFT JOIN head ON head.conv_id IS NOT DISTINCT FROM edit.conv_id WHERE e <> 'D'),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS text FROM line GROUP BY 1),
+r AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.v.cost, 0)::BIGINT AS cost, coalesce(best.v.audit, '') AS audit, sha256(coalesce(whole.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM i.conv_id
 """,
     "op13_quality_rules": r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
