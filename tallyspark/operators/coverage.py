@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import time_block, two_level
+
 
 #: Windows and points of a key meet by the day.
 NEAR_MS = 86_400_000
@@ -32,10 +34,10 @@ def bucket_coverage(windows: DataFrame, points: DataFrame, key: str, ms: str, bu
 
 def merged_intervals(intervals: DataFrame, key: str) -> DataFrame:
     """Overlapping or touching [lo_ms, hi_ms] of a key merged."""
-    by = Window.partitionBy(key).orderBy("lo_ms", "hi_ms")
-    before = F.max("hi_ms").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", (before.isNull() | (F.col("lo_ms") > before)).cast("int"))
-    marked = marked.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["lo_ms", "hi_ms"]
+    marked = two_level(intervals.select(key, *order), [key], time_block("lo_ms"), order, {"_before": ("max", F.col("hi_ms"))}, inclusive=False)
+    new = F.when(F.col("_before").isNull() | (F.col("lo_ms") > F.col("_before")), F.col("lo_ms"))
+    marked = two_level(marked, [key], time_block("lo_ms"), order, {"_island": ("last", new)})
     return marked.groupBy(key, "_island").agg(F.min("lo_ms").alias("lo_ms"), F.max("hi_ms").alias("hi_ms")).drop("_island")
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import anchored_regimes, recent_rate
+
 
 def vote_agreement(rows: DataFrame, key: str, views: list[str]) -> DataFrame:
     """key, winner, votes, consistent: the most frequent of the views' directions (ties: the first by name); consistent from two votes on."""
@@ -91,30 +93,14 @@ def resolution_levels(rows: DataFrame, key: str, lag_ms: str, spreads: list[str]
     return rows.select(key, bound.alias("bound_ms"), F.when(size.isNull(), "UNKNOWN").when(size > bound, "RESOLVED").when(2 * size > bound, "DIRECTIONAL").otherwise("NOT_RESOLVED").alias("level"))
 
 
-def online_regimes(rows: DataFrame, universe: str, ms: str, label: str, past: int, after: int, step: float, seq: str) -> DataFrame:
+def online_regimes(rows: DataFrame, universe: str, ms: str, label: str, past: int, after: int, step: float, seq: str, block: int = 1 << 16) -> DataFrame:
     """universe, ms, seen, rate, regime: the regime number rises when the rate of the last `past` earlier labels moves by `step` from its anchor.
 
     Equal times share what was known before them. The anchor is the rate when `after` labels were seen, then that of each step.
-    The step is an ordered fold over a universe's distinct times, of which one task holds three numbers each.
+    Rates and steps are found in blocks of rows, so that one universe is spread over tasks.
     """
-    by = Window.partitionBy(universe).orderBy(ms, seq)
-    each = rows.withColumn("rate", F.avg(label).over(by.rowsBetween(-past, -1))).withColumn("seen", F.count(label).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    known = each.groupBy(universe, ms).agg(F.min_by("seen", seq).alias("seen"), F.min_by("rate", seq).alias("rate"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ms)
-        anchor, regime, out = None, 0, []
-        for seen, rate in zip(part["seen"], part["rate"], strict=True):
-            if seen >= after:
-                if anchor is None:
-                    anchor = rate
-                elif abs(rate - anchor) >= step - 1e-12:
-                    anchor, regime = rate, regime + 1
-            out.append(regime)
-        return part.assign(regime=out)
-
-    schema = ", ".join(f"{name} {kind}" for name, kind in known.dtypes) + ", regime long"
-    return known.groupBy(universe).applyInPandas(fold, schema)
+    known = recent_rate(rows, universe, ms, seq, label, past, max(block, past))
+    return anchored_regimes(known, universe, ms, after, step)
 
 
 def frozen_findings(frozen: DataFrame, current: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import buy_fill_code
+from tallyspark.operators.scans import time_block, two_level
 
 
 def valid_buys(fills: DataFrame) -> DataFrame:
@@ -120,10 +121,9 @@ def connection_intervals(journal: DataFrame, error_closes: bool = True) -> DataF
 
 def running_inventory(fills: DataFrame) -> DataFrame:
     """Running signed size per outcome, net, absolute and pairable inventory after each fill of a market."""
-    by = Window.partitionBy("condition_id").orderBy("timestamp_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
-    held = lambda o: F.sum(F.when(F.col("outcome") == o, signed).otherwise(0.0)).over(by)
-    out = fills.withColumn("up", held("Up")).withColumn("down", held("Down"))
+    held = lambda o: ("sum", F.when(F.col("outcome") == o, signed).otherwise(0.0))
+    out = two_level(fills, ["condition_id"], time_block("timestamp_ms"), ["timestamp_ms", "fill_id"], {"up": held("Up"), "down": held("Down")})
     return out.select("condition_id", "fill_id", "up", "down", (F.col("up") - F.col("down")).alias("net"), F.greatest(F.least("up", "down"), F.lit(0.0)).alias("pairable"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import average_cost
+
 
 def execution_costs(fills: DataFrame, order: str, maker_rate: float, taker_rate: float) -> DataFrame:
     """Per order: filled quantity, vwap, notional, fees, rebates and slippage against the reference price.
@@ -59,22 +61,9 @@ def order_audit(events: DataFrame, order: str, seq: str) -> DataFrame:
 def average_cost_ledger(fills: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Per key the final position, cost and realised profit by average cost; selling more than is held is a violation and is left out.
 
-    fills: key, side, qty, price. The average is recursive, so one key's fills are folded in order.
+    fills: key, side, qty, price; order[0] is the time in ms.
     """
-    packed = F.array_sort(F.collect_list(F.struct(*order, "side", "qty", "price")))
-    start = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"), F.lit(0).alias("bad"))
-
-    def step(a, f):
-        buy, enough = f["side"] == "BUY", f["qty"] <= a["pos"] + 1e-9
-        average = F.when(a["pos"] > 0, a["cost"] / a["pos"]).otherwise(0.0)
-        kept = F.greatest(a["pos"] - f["qty"], F.lit(0.0))
-        return (
-            F.when(buy, F.struct((a["pos"] + f["qty"]).alias("pos"), (a["cost"] + f["qty"] * f["price"]).alias("cost"), a["pnl"].alias("pnl"), a["bad"].alias("bad")))
-            .when(enough, F.struct(kept.alias("pos"), (average * kept).alias("cost"), (a["pnl"] + f["qty"] * (f["price"] - average)).alias("pnl"), a["bad"].alias("bad")))
-            .otherwise(F.struct(a["pos"].alias("pos"), a["cost"].alias("cost"), a["pnl"].alias("pnl"), (a["bad"] + 1).alias("bad")))
-        )
-
-    return fills.groupBy(key).agg(packed.alias("_f")).select(key, F.aggregate("_f", start, step).alias("r")).select(key, "r.*")
+    return average_cost(fills, key, order)
 
 
 def chain_verification(records: DataFrame, journal: str, seq: str, payload: str, previous: str, own: str) -> DataFrame:

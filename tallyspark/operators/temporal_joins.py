@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import time_block, two_level
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, ms: str, values: list[str], order: list[str] | None = None, stale_ms: int | None = None) -> DataFrame:
     """left with the values of the last row of right at or before its time (ties: the last by order), and age_ms.
 
-    Both sides are united and sorted once per key: no range join. Beyond stale_ms values are null.
+    Both sides are united: no range join. A key's last values are carried over days, then found inside days, so that
+    a key with many rows is spread over tasks. Beyond stale_ms values are null.
     """
     order = order or []
     packed = F.struct(F.col(ms).alias("at"), *values)
     a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType))
     b = right.select(key, ms, F.lit(0).alias("_side"), packed.alias("_v"), *[F.col(o).alias(f"_o_{o}") for o in order])
     both = a.unionByName(b, allowMissingColumns=True)
-    by = Window.partitionBy(key).orderBy(ms, "_side", *[f"_o_{o}" for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_v", True).over(by)).where("_side = 1").withColumn("age_ms", F.col(ms) - F.col("_last.at"))
+    out = two_level(both, [key], time_block(ms), [ms, "_side", *[f"_o_{o}" for o in order]], {"_last": ("last", F.col("_v"))})
+    out = out.where("_side = 1").withColumn("age_ms", F.col(ms) - F.col("_last.at"))
     fresh = F.lit(True) if stale_ms is None else F.col("age_ms") <= stale_ms
     return out.select(*left.columns, *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], "age_ms")
 
@@ -27,8 +30,8 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, ms: str, values: l
     packed = F.struct(F.col(ms).alias("at"), *values)
     a = left.withColumn("_at", F.col(ms) + horizon_ms).withColumn("_side", F.lit(0)).withColumn("_v", F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType))
     b = right.select(key, F.col(ms).alias("_at"), F.lit(1).alias("_side"), packed.alias("_v"))
-    by = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    out = a.unionByName(b, allowMissingColumns=True).withColumn("_next", F.first("_v", True).over(by)).where("_side = 0")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_back", -F.col("_at")).withColumn("_turn", -F.col("_side"))
+    out = two_level(both, [key], time_block("_back"), ["_back", "_turn"], {"_next": ("last", F.col("_v"))}).where("_side = 0")
     return out.select(*left.columns, F.col("_next.at").alias("found_ms"), *[F.col(f"_next.{v}").alias(v) for v in values])
 
 
