@@ -61,13 +61,3 @@ def interval_matches(windows: DataFrame, intervals: DataFrame, window_id: str, b
     found = met.groupBy(window_id).agg(F.count_distinct("owner").alias("matches"))
     out = windows.select(window_id).join(found, window_id, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return out.withColumn("match", F.when(F.col("matches") == 0, "MISSING").when(F.col("matches") == 1, "ELIGIBLE").otherwise("AMBIGUOUS"))
-
-
-def matched_controls(cases: DataFrame, pool: DataFrame, key: str, ms: str, features: list[str], case_id: str, pool_id: str, n: int, bucket_ms: int) -> DataFrame:
-    """case, control, distance, rank: the n nearest earlier rows of the same key and time bucket or the one before, by L1 distance."""
-    a = cases.select(F.col(case_id).alias("case"), key, F.col(ms).alias("_t"), *[F.col(f).alias(f"_a_{f}") for f in features], F.explode(F.array(F.floor(F.col(ms) / bucket_ms), F.floor(F.col(ms) / bucket_ms) - 1)).alias("_b"))
-    b = pool.select(F.col(pool_id).alias("control"), key, F.col(ms).alias("_u"), *[F.col(f).alias(f"_p_{f}") for f in features], F.floor(F.col(ms) / bucket_ms).alias("_b"))
-    distance = sum((F.abs(F.col(f"_a_{f}") - F.col(f"_p_{f}")) for f in features), F.lit(0.0))
-    met = a.join(b, [key, "_b"]).where(F.col("_u") < F.col("_t")).withColumn("distance", F.round(distance, 9))
-    by = Window.partitionBy("case").orderBy("distance", "control")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).select("case", "control", "distance", "rank")

@@ -50,11 +50,29 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.attribution(M.fold_metrics(predictions), "M1").join(stable, "model")
 
 
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "labels").join(X.table(spark, sf_dir, "documents").select("doc_id", "lang", F.log1p("n_chars").alias("size")), "doc_id").where("quality is not null")
+
+
 @register("m11_shuffle_refit")
 def shuffle_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out AUC of labels of documents by their length, as they are and shuffled."""
-    rows = X.table(spark, sf_dir, "labels").join(X.table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("size")), "doc_id").where("quality is not null")
-    return M.shuffle_refit(rows, "doc_id", "quality", ["size"], 5)
+    """Held-out AUC of labels of documents by their length, as they are and permuted inside each language."""
+    return M.shuffle_refit(_graded(spark, sf_dir), "doc_id", "quality", ["size"], 5, strata=["lang"])
+
+
+@register("m11_global_shuffle")
+def global_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of permutations over all documents, a diagnostic."""
+    return M.shuffle_summary(M.shuffle_refit(_graded(spark, sf_dir), "doc_id", "quality", ["size"], 5))
+
+
+@register("m11_permuted_labels", """WITH s AS (SELECT o_orderkey AS id, o_orderpriority AS stratum, (o_orderstatus = 'F')::INT AS y, i AS shuffle FROM orders, range(3) t(i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY shuffle, stratum ORDER BY md5(id || ':' || shuffle || ':row')) AS a, row_number() OVER (PARTITION BY shuffle, stratum ORDER BY md5(id || ':' || shuffle || ':label')) AS b FROM s)
+SELECT x.id, x.stratum, x.shuffle::INTEGER AS shuffle, y.y AS label FROM r x JOIN r y ON x.shuffle = y.shuffle AND x.stratum = y.stratum AND x.a = y.b""")
+def permuted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of orders permuted three times inside their priorities."""
+    o = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("stratum"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return M.permuted_labels(o, "id", "y", 3, ["stratum"]).select("id", "stratum", "shuffle", "label")
 
 
 @register("m12_factors")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import coverage, dedupe, evaluation, features, grid, ledger, logs, stats
 from tallyspark.operators import temporal_joins as joins
+from tallyspark.operators.matching import nearest_earlier
 from tallyspark.sources import fixtures as X
 from tallyspark.sources.fixtures import GAP, HORIZON, HOUR, with_sql
 
@@ -294,12 +295,16 @@ def interval_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.interval_matches(windows, iv, "window_id", 24 * HOUR)
 
 
-@register("j11_matched_controls", f"""{with_sql("ev")}, c AS (SELECT a.event_id AS "case", b.event_id AS control, round(abs(a.value - b.value) + abs(a.k - b.k), 9) AS distance FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.ms < a.ms AND a.ms // {48 * HOUR} - b.ms // {48 * HOUR} IN (0, 1) WHERE a.event_type = 'purchase' AND b.event_type = 'view'),
-r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY distance, control) AS rank FROM c) SELECT * FROM r WHERE rank <= 3""")
+_FOUR = "value, k, ms % 3600000 / 60000.0::DOUBLE AS minute, (604800000 - ms % 604800000) / 3600000.0::DOUBLE AS hours_left"
+
+
+@register("j11_matched_controls", f"""{with_sql("ev")}, x AS (SELECT event_id, user_id, event_type, ms, {_FOUR} FROM ev),
+c AS (SELECT a.event_id AS "case", b.event_id AS control, round(abs(a.value - b.value) + abs(a.k - b.k) + abs(a.minute - b.minute) + abs(a.hours_left - b.hours_left), 9) AS distance FROM x a JOIN x b ON a.user_id = b.user_id AND b.ms < a.ms WHERE a.event_type = 'purchase' AND b.event_type = 'view'),
+r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY distance, control) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""")
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three earlier views of the user that are nearest to each purchase."""
-    e = X.events(spark, sf_dir)
-    return joins.matched_controls(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "ms", ["value", "k"], "event_id", "event_id", 3, 48 * HOUR)
+    """Of all earlier views of the user the five that are nearest to each purchase by four features."""
+    e = X.events(spark, sf_dir).withColumn("minute", F.col("ms") % 3600000 / 60000).withColumn("hours_left", (604800000 - F.col("ms") % 604800000) / 3600000)
+    return nearest_earlier(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "ms", ["value", "k", "minute", "hours_left"], "event_id", "event_id", 5)
 
 
 DAYS = f"days AS (SELECT DISTINCT user_id::VARCHAR AS condition_id, ms // {168 * HOUR} * {168 * HOUR} AS start_ms, ms // {168 * HOUR} * {168 * HOUR} + {168 * HOUR} AS end_ms FROM ev)"
