@@ -219,13 +219,6 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(ends.unpivot("session_id", ["FILE_FIRST", "FILE_LAST"], "label", "timestamp_ms").select("session_id", "timestamp_ms", "label"))
 
 
-@register("k19_judgements", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'BLOCKED' WHEN quality = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict FROM labels")
-def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard flags block, threshold reasons reject, else accept."""
-    hard, soft = S.reasons((F.col("toxic") == 1, "toxic")), S.reasons((F.col("quality") == 0, "quality"))
-    return X.table(spark, sf_dir, "labels").select("doc_id", F.when(F.size(hard) > 0, "BLOCKED").when(F.size(soft) > 0, "REJECT").otherwise("ACCEPT").alias("verdict"))
-
-
 @register("c14_cohort_upsert", "WITH v AS (SELECT o_custkey, 1 AS version, max(o_totalprice) AS best FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT o_custkey, 2, max(o_totalprice) FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY version DESC) AS rn FROM v) SELECT sha256(o_custkey || '|' || version) AS observation_id, o_custkey, version, best FROM r WHERE rn = 1")
 def cohort_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: the latest version of each cohort member."""

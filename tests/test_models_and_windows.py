@@ -42,8 +42,7 @@ def test_walk_forward_equals_plain_numpy(spark):
     assert {k[0] for k in got} == {3, 4, 5, 6, 7}
     for fold in (3, 7):
         train = [r for r in rows if r[1] < fold]
-        known = np.sort([r[4] for r in train if r[4] is not None])
-        middle = known[(len(known) - 1) // 2]
+        middle = np.median([r[4] for r in train if r[4] is not None])
         x = []
         for j in (3, 4):
             v = np.array([r[j] for r in train if r[j] is not None])
