@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tallyspark.plans import audit_queries, evidence_queries, extra_queries, feature_queries, further_queries, model_queries, more_queries, raw_queries, state_queries, stream_queries  # noqa: F401
+from tallyspark.plans import audit_queries, evidence_queries, extra_queries, feature_queries, further_queries, model_queries, more_queries, raw_queries, state_queries, stream_queries, summary_queries  # noqa: F401
 from tallyspark.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
