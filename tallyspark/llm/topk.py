@@ -1,11 +1,12 @@
 """Exact top-k inner products by a three-phase uniform threshold over slices of the vectors.
 
-A score is the sum of partial scores over m slices of the components. Phase 1: every query scores one
-block of candidates, its home; the k-th best is a cutoff t that no answer falls below. Phase 2: t goes with
-the query to all blocks. A block is skipped if the norms of its slices cannot reach t; in the others an
-answer has a partial score of t/m or more in some slice, and candidates are dropped as soon as their known
-partial scores with bounds of the other slices stay below t. Phase 3: the slices still unknown are
-computed for those that are left, so their scores are exact.
+A score is the sum of partial scores over m slices of the components; each slice gives a query a list of
+candidates by partial score. Phase 1: of one block of candidates, the query's home, the heads of its m lists
+are gathered and their scores summed up; the k-th best is a cutoff t that no answer falls below. Phase 2: t
+goes with the query to all blocks, and every list gives its entries of t/m or more: the largest part of a
+score is at least its mean, so each answer is in one list at least. A block is skipped where the norms of a
+slice cannot reach t/m. Phase 3: of what was gathered the parts in other lists are added, so that scores are
+exact; the rest is never summed up.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
 AT_ONCE = 64
+#: Entries of a list's head, times k.
+LIST = 4
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -58,43 +61,46 @@ def _saturated(x) -> int:
     return max(-(2**63), min(2**63 - 1, int(x)))
 
 
-def survivors(q: np.ndarray, c: np.ndarray, cut: np.ndarray, m: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """(places, exact scores) per query of the candidates that reach its cutoff, and how many slice products were computed.
+def heads(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """Per query the places of the candidates that are among the first `length` of some slice's list."""
+    length = min(length, parts[0].shape[1])
+    if not length:
+        return [np.zeros(0, np.int64)] * len(parts[0])
+    tops = [np.argpartition(-p, length - 1, axis=1)[:, :length] for p in parts]
+    return [np.unique(np.concatenate([t[i] for t in tops])) for i in range(len(parts[0]))]
+
+
+def gathered(q: np.ndarray, c: np.ndarray, cut: np.ndarray, m: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(places, exact scores) per query of the candidates that reach its cutoff, and how many entries the lists gave for them.
 
     q, c: integers as doubles whose inner products are exact; bounds allow for the rounding of norms.
     """
-    parts = np.array_split(np.arange(q.shape[1]), m)
-    norm_q, norm_c = (np.stack([np.linalg.norm(x[:, a], axis=1) for a in parts], axis=1) for x in (q, c))
-    grow = 1 + 1e-9
-    out, products = [], 0
-    open_ = np.flatnonzero((norm_q @ norm_c.max(axis=0)) * grow + 1 >= cut)
-    found = {}
-    if len(open_):
-        first = q[open_][:, parts[0]] @ c[:, parts[0]].T
-        products += first.size
-        rest = norm_q[open_][:, 1:] @ norm_c[:, 1:].T
-        for row, i in enumerate(open_.tolist()):
-            known, bound = first[row], rest[row]
-            left = np.flatnonzero(known + bound * grow + 1 >= cut[i])
-            known, bound = known[left], bound[left]
-            best = known
-            for s in range(1, m):
-                part = c[left][:, parts[s]] @ q[i, parts[s]]
-                products += len(left)
-                known, best = known + part, np.maximum(best, part)
-                bound = bound - norm_q[i, s] * norm_c[left, s]
-                keep = known + np.maximum(bound, 0) * grow + 1 >= cut[i]
-                if s == m - 1:
-                    keep = (known >= cut[i]) & (best * m >= cut[i])
-                left, known, bound, best = left[keep], known[keep], bound[keep], best[keep]
-            found[i] = (left, known)
-    none = np.zeros(0, np.int64), np.zeros(0)
+    cols = np.array_split(np.arange(q.shape[1]), m)
+    reach = np.stack([np.linalg.norm(q[:, a], axis=1) * np.linalg.norm(c[:, a], axis=1).max(initial=0.0) for a in cols], axis=1)
+    may = reach * (1 + 1e-9) * m + m >= cut[:, None]  # slices that can hold a part of cut / m
+    parts, given = {}, np.zeros((len(q), len(c)), bool)
+    for s, a in enumerate(cols):
+        rows = np.flatnonzero(may[:, s])
+        if len(rows):
+            parts[s] = np.full((len(q), len(c)), np.nan)
+            parts[s][rows] = q[rows][:, a] @ c[:, a].T
+            given[rows] |= parts[s][rows] * m + m >= cut[rows, None]
+    out, entries = [], 0
     for i in range(len(q)):
-        out.append(found.get(i, none))
-    return out, products
+        places = np.flatnonzero(given[i])
+        entries += len(places)
+        total = np.zeros(len(places))
+        for s, a in enumerate(cols):
+            known = parts[s][i, places] if s in parts and may[i, s] else c[places][:, a] @ q[i, a]
+            total += known
+        keep = total >= cut[i]
+        out.append((places[keep], total[keep]))
+    return out, entries
+
 
+def _phase(k: int, m: int, first: bool):
+    """Scores of a block of queries and one of candidates: heads of lists in the first phase, then all that reach the cutoff."""
 
-def _phase(k: int, m: int):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         width = max([len(v) for v in queries["q_vector"]] + [len(v) for v in candidates["vector"]], default=0)
@@ -106,12 +112,13 @@ def _phase(k: int, m: int):
             known = np.array([x is not None and not pd.isna(x) for x in cuts])
             for i in range(0, len(q), AT_ONCE):
                 n = min(AT_ONCE, len(q) - i)
-                if small and known[i : i + n].all():
-                    got, _ = survivors(q[i : i + n], c, np.array([float(x) for x in cuts[i : i + n]]), m)
+                if small and not first and known[i : i + n].all():
+                    got, _ = gathered(q[i : i + n], c, np.array([float(x) for x in cuts[i : i + n]]), m)
                 else:
                     parts = _slices(q[i : i + n], c, m)
-                    total = sum(parts[1:], parts[0])
-                    got = [(np.arange(len(ids)), total[r]) for r in range(n)]
+                    # a query's own row may be at the head of each list
+                    some = heads(parts, LIST * k + 1) if first and small else [np.arange(len(ids))] * n
+                    got = [(p, sum((x[r, p] for x in parts[1:]), parts[0][r, p])) for r, p in enumerate(some)]
                 for r, (some, score) in enumerate(got):
                     own = ids[some] == q_ids[i + r]
                     some, score = some[~own], score[~own]
@@ -125,7 +132,7 @@ def _phase(k: int, m: int):
     return run
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, slices: int = 4, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, slices: int = 2, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id long, rank int, vec_id long, score long: each query's k best rows by integer inner product.
 
     is_query: a condition on the vec_id column. A query's candidates are all rows with other ids; ties
@@ -143,13 +150,13 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, slice
     cand = rows.withColumn("c_block", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).cast("int"))
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def meet(q: DataFrame, c: DataFrame) -> DataFrame:
-        met = q.groupBy("qb", "cb").cogroup(c.groupBy("q_block", "c_block")).applyInPandas(_phase(k, slices), "query_id long, vec_id long, score long")
+    def meet(q: DataFrame, c: DataFrame, first: bool) -> DataFrame:
+        met = q.groupBy("qb", "cb").cogroup(c.groupBy("q_block", "c_block")).applyInPandas(_phase(k, slices, first), "query_id long, vec_id long, score long")
         return met.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
     home = queries.select("*", F.lit(None).cast("long").alias("cutoff"), F.lit(0).alias("qb"), F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(c_blocks)).cast("int").alias("cb"))
-    first = meet(home, cand.withColumn("q_block", F.lit(0))).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cutoff")).where(F.col("n") == k)
+    first = meet(home, cand.withColumn("q_block", F.lit(0)), True).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cutoff")).where(F.col("n") == k)
     everywhere = queries.join(first.select("query_id", "cutoff"), "query_id", "left").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
     everywhere = everywhere.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    second = meet(everywhere, cand.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    second = meet(everywhere, cand.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))), False)
     return second.select("query_id", "rank", "vec_id", "score")

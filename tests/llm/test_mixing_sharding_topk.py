@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.mixing import mix, permuted, water_fill
 from tallyspark.llm.sharding import ring, settle, shard_rows
-from tallyspark.llm.topk import exact_topk, survivors
+from tallyspark.llm.topk import exact_topk, gathered, heads
 
 
 def test_permutations_and_targets():
@@ -98,17 +98,28 @@ def test_topk(spark):
     assert exact_topk(df.where("false"), lambda i: i % 50 == 0).count() == 0
 
 
-def test_cutoffs_save_products():
-    """On vectors in groups a cutoff leaves few candidates to resolve; what is left is exact."""
+def test_the_uniform_threshold_drops_most_candidates():
+    """Lists give few entries of cutoff / m or more, the answers among them; their scores are exact."""
     rng = np.random.default_rng(2)
-    centres = rng.normal(0, 1, (40, 64))
-    c = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 64))))
-    q = c[::50]
+    q, c = np.floor(256 * rng.normal(0, 1, (80, 64))), np.floor(256 * rng.normal(0, 1, (4000, 64)))
     scores = q @ c.T
     cut = np.sort(scores, axis=1)[:, -6]
-    got, products = survivors(q, c, cut, 4)
-    for i, (places, known) in enumerate(got):
-        want = np.flatnonzero(scores[i] >= cut[i])
-        assert sorted(places.tolist()) == want.tolist() and (np.sort(known) == np.sort(scores[i, want])).all()
-    assert products < 0.5 * 4 * scores.size
-    assert survivors(q, c, np.full(len(q), 1e12), 4)[1] == 0
+    for m, most in ((1, 0.0016), (2, 0.05), (4, 0.3)):
+        got, entries = gathered(q, c, cut, m)
+        for i, (places, known) in enumerate(got):
+            want = np.flatnonzero(scores[i] >= cut[i])
+            assert sorted(places.tolist()) == want.tolist() and (np.sort(known) == np.sort(scores[i, want])).all()
+        assert 6 * len(q) <= entries < most * scores.size
+    assert gathered(q, c, np.full(len(q), 1e12), 4)[1] == 0
+    low = gathered(q, c, np.full(len(q), -1e12), 2)
+    assert low[1] == scores.size and all((known == scores[i]).all() for i, (_, known) in enumerate(low[0]))
+
+
+def test_heads_of_lists_give_a_safe_cutoff():
+    rng = np.random.default_rng(3)
+    q, c = np.floor(256 * rng.normal(0, 1, (30, 16))), np.floor(256 * rng.normal(0, 1, (500, 16)))
+    parts = [q[:, :8] @ c[:, :8].T, q[:, 8:] @ c[:, 8:].T]
+    for i, places in enumerate(heads(parts, 20)):
+        assert 20 <= len(places) <= 40
+        assert np.sort((parts[0] + parts[1])[i, places])[-5] <= np.sort((parts[0] + parts[1])[i])[-5]
+    assert [len(p) for p in heads([x[:, :3] for x in parts], 20)] == [3] * 30
