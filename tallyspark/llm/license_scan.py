@@ -61,18 +61,34 @@ def spdx(names: list[str]) -> list[tuple[str, str]]:
 
 
 def cue_windows(words: Column, lengths: list[int]) -> Column:
-    """All runs of so many tokens that hold a token with a cue, over line ends, as texts."""
+    """All runs of so many tokens that hold a token with a cue, over line ends, as texts.
+
+    Starts are marked once each, however many cues lie near: of a length n, those whose next cue is less than n tokens on.
+    """
 
     def around(t: Column) -> Column:
         cues = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(CUE), i)), lambda i: i.isNotNull())
-        run = lambda n: lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"))
-        starts = lambda i: F.flatten(F.array(*[F.transform(F.sequence(F.greatest(i - n + 1, F.lit(0)), i), run(n)) for n in lengths]))
-        runs = F.array_distinct(F.flatten(F.transform(cues, starts)))
-        return F.transform(runs, lambda r: F.array_join(F.slice(t, r["s"] + 1, r["n"]), " "))
+        return F.transform(F.array(cues), lambda at: _runs(t, at, lengths))[0]
 
     return F.array_distinct(F.flatten(F.transform(F.array(words), around)))
 
 
+def _runs(t: Column, cues: Column, lengths: list[int]) -> Column:
+    """Texts of the runs: for each cue and length, starts after the last cue before it (those belong to that one) up to the cue."""
+
+    def of_length(n: int) -> Column:
+        text = lambda s: F.array_join(F.transform(_between(s, F.least(s + n, F.size(t)) - 1), lambda i: F.get(t, i)), " ")
+        low = lambda c, k: F.greatest(c - n + 1, F.when(k > 0, F.get(cues, k - 1) + 1).otherwise(F.lit(0)), F.lit(0))
+        return F.flatten(F.transform(cues, lambda c, k: F.transform(_between(low(c, k), c), text)))
+
+    return F.concat(*[of_length(n) for n in lengths])
+
+
+def _between(a: Column, b: Column) -> Column:
+    """a to b; empty if b is smaller."""
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+
 def _vectors(parts: DataFrame, keys: list[str], idf: DataFrame, n: int) -> DataFrame:
     """Unit TF-IDF vectors (keys, token, weight) of (keys, text); a token that no template has counts as unseen."""
     counted = parts.select(*keys, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
