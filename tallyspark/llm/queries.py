@@ -223,7 +223,7 @@ WITH p AS (
          coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 o AS (SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels l ON l.doc_id = p.page_id
-      WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL),
+      WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL AND p.host <> ''),
 l AS (SELECT host, string_split(host, '.') AS l, count(*) AS n, sum(bad) AS bad FROM o GROUP BY host),
 h AS (SELECT host, n, bad, array_to_string(l[greatest(len(l) - k + 1, 1):], '.') AS suffix, array_to_string(l[greatest(len(l) - k, 1):], '.') AS domain
       FROM (SELECT *, CASE WHEN array_to_string(l[greatest(len(l) - 1, 1):], '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END AS k FROM l)),

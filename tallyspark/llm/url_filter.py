@@ -64,10 +64,11 @@ def host_reputation(outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
 
     mean is the posterior mean of the bad share, low its lower bound by the normal approximation of the
     beta posterior, cut the share above which low blocks. The strength of each level's prior comes from how
-    much its groups differ. Only hosts with outcomes are listed; rows with null bad are left out.
+    much its groups differ. Only hosts with outcomes are listed; rows with null bad are left out, and those with an
+    empty host, which is no host that urls could share.
     """
     domain, suffix = host_levels(F.col("host"))
-    hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    hosts = outcomes.where("bad is not null and host != ''").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     whole = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p_all"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -89,7 +90,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     length the later rule text). Other urls are blocked if the lower bound of their host's bad share is
     above BAD_RATIO times the overall one; hosts without outcomes are allowed.
 
-    A url that is null or has no :// has an empty host and path. Null page_id rows have no outcomes.
+    A url that is null or has no :// has an empty host and path, and no reputation. Null page_id rows have no outcomes.
     Repeated rows are judged each. Empty tables give no rows, or no reputations. Other columns are ignored.
     """
     rules = RULES if rules is None else rules

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,7 @@ from tallyspark.llm import attention as A
 from tallyspark.llm.fingerprints import edited_fingerprints, fingerprint, fingerprints, likeness
 from tallyspark.llm.language_id import identify
 from tallyspark.llm import license_scan as L
-from tallyspark.llm.license_scan import scan
+from tallyspark.llm.license_scan import cue_windows, scan
 from tallyspark.llm.lm_scoring import _count, score_texts, spelling
 from tallyspark.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tallyspark.llm.url_filter import host_levels, host_reputation, prior_weight, url_filter
@@ -286,3 +288,24 @@ def test_suffixes_and_prior_strength(spark):
     drawn = [(30, int(rng.binomial(30, rng.beta(4, 12)))) for _ in range(400)]
     fitted = prior_weight(spark.createDataFrame(drawn, "n long, bad long")).first()["weight"]
     assert alike == 1000 and apart == 1 and 11 < fitted < 23
+
+
+def test_runs_around_many_cues(spark):
+    """20,000 cue words in a row take linear time; runs equal those of a plain loop."""
+    rng = random.Random(0)
+    cues, lengths = {"license", "warranty"}, [2, 3, 7]
+    for _ in range(10):
+        w = [rng.choice(["license", "a", "b", "c", "warranty"]) for _ in range(rng.randrange(40))]
+        want = {" ".join(w[s : s + n]) for i, x in enumerate(w) if x in cues for n in lengths for s in range(max(0, i - n + 1), i + 1)}
+        got = spark.createDataFrame([(w,)], "w array<string>").select(cue_windows(F.col("w"), lengths).alias("x")).first().x
+        assert set(got) == want and len(got) == len(want)
+    began = time.perf_counter()
+    found = scan(spark.createDataFrame([("d/many", "license word " * 20_000), ("d/one", "Licensed under the Apache License, Version 2.0")], "path string, text string")).collect()
+    assert len(found) == 2 and time.perf_counter() - began < 60
+
+
+def test_urls_without_a_host_share_no_reputation(spark):
+    pages = spark.createDataFrame([(i, "no host here") for i in range(200)] + [(200 + i, f"http://good{i % 5}.org/x") for i in range(200)] + [(400, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "page_id long, bad int")
+    assert host_reputation(spark.createDataFrame([("", 1), ("a.org", 0)], "host string, bad int")).select("host").collect()[0][0] == "a.org"
+    assert {r.verdict for r in url_filter(pages, outcomes).collect()} == {"allow"}
