@@ -15,6 +15,8 @@ from tallyspark.llm.common import WORD, ascii_lower, bucket_count, materialize
 
 #: Words of a k-mer and of an inner s-mer; a k-mer has K - S + 1 = 4 inner s-mers.
 K, S = 5, 2
+#: Common anchors at one shift from which a shift counts as a match.
+MATCHES = 3
 #: Zones of the document order in which neighbours are found, at most.
 MOST_ZONES = 10_000
 
@@ -48,10 +50,35 @@ def fingerprint(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda a: F.lpad(F.lower(F.hex(F.pmod(a.cast("long"), F.lit(1 << 32)))), 8, "0")), "")
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) where f uses the value in lambdas: it is computed once, not for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two anchor lists as sets; two empty lists are alike."""
-    common, whole = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(whole == 0, 1.0).otherwise(common / whole).cast("double")
+    """Positional likeness of two anchor lists, 0 to 1: matched / (size a + size b - matched), sizes without repeats; two empty lists are alike.
+
+    Common anchors (each at its first place in either list) match where they keep their places: at a shift between
+    the lists that MATCHES of them share (all of them, if one list has fewer). Common words out of order don't match.
+    """
+    tagged = lambda c, side: F.transform(c, lambda h, i: F.struct(h.alias("h"), F.lit(side).alias("s"), i.alias("i")))
+    placed = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    other = lambda x, y: (x["h"] != y["h"]) | (x["s"] != y["s"])
+    firsts = _once(placed, lambda t: F.filter(t, lambda x, i: F.when(i > 0, other(F.get(t, i - 1), x)).otherwise(F.lit(True))))
+
+    def share(t: Column) -> Column:
+        follows = lambda i: F.get(t, i + 1)
+        shifts = F.sort_array(F.array_compact(F.transform(t, lambda x, i: F.when((x["s"] == 0) & (follows(i)["h"] == x["h"]), follows(i)["i"] - x["i"]))))
+        n_a = F.size(F.filter(t, lambda x: x["s"] == 0))
+        n_b = F.size(t) - n_a
+        least = F.least(F.lit(MATCHES), n_a, n_b)
+        closed = lambda s: s["n"] + F.when(s["run"] >= least, s["run"]).otherwise(F.lit(0))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("run"), F.lit(0).alias("at"))
+        step = lambda s, d: F.when((s["run"] > 0) & (s["at"] == d), F.struct(s["n"].alias("n"), (s["run"] + 1).alias("run"), d.alias("at"))).otherwise(F.struct(closed(s).alias("n"), F.lit(1).alias("run"), d.alias("at")))
+        matched = F.aggregate(shifts, start, step, closed)
+        return F.when(n_a + n_b == 0, 1.0).otherwise(_once(matched, lambda m: m / (n_a + n_b - m))).cast("double")
+
+    return _once(firsts, share)
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:

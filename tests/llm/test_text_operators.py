@@ -309,3 +309,26 @@ def test_urls_without_a_host_share_no_reputation(spark):
     outcomes = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "page_id long, bad int")
     assert host_reputation(spark.createDataFrame([("", 1), ("a.org", 0)], "host string, bad int")).select("host").collect()[0][0] == "a.org"
     assert {r.verdict for r in url_filter(pages, outcomes).collect()} == {"allow"}
+
+
+def plain_likeness(a, b):
+    first = [{h: i for i, h in reversed(list(enumerate(x)))} for x in (a, b)]
+    shifts = Counter(first[1][h] - i for h, i in first[0].items() if h in first[1])
+    least = min(3, *map(len, first))
+    matched = sum(n for n in shifts.values() if n >= least)
+    whole = len(first[0]) + len(first[1])
+    return 1.0 if not whole else matched / (whole - matched)
+
+
+def test_likeness_compares_places(spark):
+    rng = random.Random(5)
+    whole = list(range(40))
+    cases = [([], []), ([1], []), ([1], [1]), (whole, whole), (whole, whole[::-1]), (whole, whole[:20] + whole[25:]), (whole, [99] * 5 + whole), (whole * 2, whole), (whole, rng.sample(whole, 40))]
+    cases += [([rng.randrange(30) for _ in range(rng.randrange(50))], [rng.randrange(30) for _ in range(rng.randrange(50))]) for _ in range(60)]
+    df = spark.createDataFrame(cases, "a array<int>, b array<int>").select("a", "b", likeness(F.col("a"), F.col("b")).alias("x"))
+    for r in df.collect():
+        assert abs(r.x - plain_likeness(r.a, r.b)) < 1e-12, (r.a, r.b)
+    got = [plain_likeness(*c) for c in cases[:8]]
+    assert got[:4] == [1.0, 0.0, 1.0, 1.0] and got[4] < 0.1 and got[5] == 35 / 40 and got[6] == 40 / 41 and got[7] == 1.0
+    long = [rng.randrange(1 << 30) for _ in range(30_000)]
+    assert spark.createDataFrame([(long, long[1000:])], "a array<int>, b array<int>").select(likeness(F.col("a"), F.col("b")).alias("x")).first().x > 0.9
