@@ -135,7 +135,8 @@ def domain_violations(rows: DataFrame, id_: str, fields: list[str], version: int
     negative, zero = text.startswith("-"), ~F.regexp_replace(text, "[eE].*$", "").rlike("[1-9]")
     if version == 2:
         exact = F.expr("try_cast(trim(value) AS decimal(38,36))")  # null beyond 99, which no bound reaches
-        off = F.when(top.isNotNull(), exact.isNull() | (exact > top) | (exact < low)).otherwise(F.lit(False))
+        bound = lambda c: c.cast("decimal(38,36)")  # noqa: E731  with another type digits would be rounded off
+        off = F.when(top.isNotNull(), exact.isNull() | (exact > bound(top)) | (exact < bound(low))).otherwise(F.lit(False))
         off = off | (name.isin(*COINS) & (negative | zero)) | (name.contains("depth") & negative & ~zero)
         reason = F.when(F.lower(text).rlike("^[+-]?(nan|inf|infinity)$"), "NONFINITE_VALUE").when(~number, "INVALID_NUMERIC_VALUE").when(off, "OUT_OF_RANGE")
     else:
