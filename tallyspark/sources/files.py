@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that driver and executors share; a local session that names none gets one, on a cluster that is an error."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session that names none gets one, on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, label: str) -> DataFrame:
