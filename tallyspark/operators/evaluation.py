@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import two_level
+
 
 def auc(rows: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """Rank AUC per group with ties averaged; null unless both classes are there.
@@ -53,12 +55,30 @@ def shuffled_labels(rows: DataFrame, id_: str, period: str, y: str, seed: Column
     return a.join(b, [period, "_n"]).drop("_n")
 
 
+def permuted_labels(rows: DataFrame, id_: str, y: str, shuffles: int, strata: list[str] | None = None) -> DataFrame:
+    """id_, strata, shuffle, label: in each shuffle the labels of a stratum are dealt to its rows anew, so that every rate stays as it is.
+
+    Rows and labels are put in two orders, by md5(id:shuffle:row) and md5(id:shuffle:label); places are joined. Places are
+    counted in blocks of hashes, so no task orders a whole stratum.
+    """
+    key = ["shuffle", *(strata or [])]
+    spread = rows.select(id_, *(strata or []), F.col(y).alias("label"), F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle"))
+
+    def placed(what: str) -> DataFrame:
+        hashed = spread.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_).cast("string"), F.col("shuffle").cast("string"), F.lit(what)).cast("binary")))
+        return two_level(hashed, key, F.substring("_h", 1, 3), ["_h"], {"_at": ("sum", F.lit(1))}).drop("_h")
+
+    labels = placed("label").select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_at").alias("_b"), "label")
+    same = F.col("_at") == F.col("_b")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed("row").drop("label").join(labels, same).select(id_, *key, "label")
+
+
 def shuffle_control(rows: DataFrame, id_: str, period: str, y: str, p: str, shuffles: int) -> DataFrame:
     """Mean, 95th percentile and maximum of the macro AUC under within-period shuffles of the labels."""
-    spread = rows.select(id_, period, y, p, F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("shuffle"))
-    keyed = spread.withColumn("_group", F.concat_ws("|", period, "shuffle"))
-    mixed = shuffled_labels(keyed, id_, "_group", y, F.col("shuffle"))
-    per = auc(mixed, ["shuffle", period], "shuffled", p).groupBy("shuffle").agg(F.avg("auc").alias("auc"))
+    mixed = permuted_labels(rows, id_, y, shuffles, [period]).join(rows.select(id_, p), id_)
+    per = auc(mixed, ["shuffle", period], "label", p).groupBy("shuffle").agg(F.avg("auc").alias("auc"))
     return per.agg(F.count("*").alias("shuffles"), F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.95)).alias("p95"), F.max("auc").alias("most"))
 
 

@@ -9,7 +9,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import coverage, features, ledger, stats
 from tallyspark.operators.temporal_joins import asof_backward
 from tallyspark.plans.more_queries import _MONTHS, GRID, STALE, STEP, _grid, _months
-from tallyspark.plans.queries import EPISODES, FILLS, GAP, HORIZON, INTERVALS, MARKETS, CUTS, _cuts, _opposites, label_sql, r6, register
+from tallyspark.plans.queries import EPISODES, FILLS, GAP, HORIZON, INTERVALS, MARKETS, ORACLES, CUTS, _cuts, _opposites, label_sql, r6, register
 from tallyspark.sources import fixtures as X
 from tallyspark.sources.fixtures import HOUR, with_sql
 
@@ -172,9 +172,10 @@ def rate_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("market_start_ms").alias("week_ms")).agg(F.count("*").alias("markets"), F.count_if(~F.col("ok")).alias("censored"), F.round(F.percentile("opposite_shares", F.lit(0.5)), 6).alias("median_shares"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("label"))), F.lit(0)).alias("positives"))
 
 
-@register("i12_break_support")
+@register("i12_break_support", f"""WITH a AS ({ORACLES["i10_cusum_break"]}), b AS ({ORACLES["i11_split_break"]}), k AS (SELECT period, row_number() OVER (ORDER BY period) AS i FROM ({_MONTHS} SELECT period FROM m))
+SELECT 'all' AS metric, break_at, split_at, CASE WHEN abs(x.i - y.i) <= 1 THEN 'SUPPORTED_BREAK' ELSE 'UNSUPPORTED' END AS support FROM a, b, k x, k y WHERE x.period = break_at AND y.period = split_at""")
 def break_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether both break methods agree within one period (their SQL twins are i10 and i11)."""
+    """Whether both break methods agree within one period ."""
     m = _months(spark, sf_dir).withColumn("metric", F.lit("all")).withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("period")))
     a = stats.cusum_break(m, "metric", "period", "rate").join(m.select("metric", F.col("period").alias("break_at"), F.col("i").alias("ia")), ["metric", "break_at"])
     b = stats.split_break(m, "metric", "period", "rate").join(m.select("metric", F.col("period").alias("split_at"), F.col("i").alias("ib")), ["metric", "split_at"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import models as M
 from tallyspark.operators.evaluation import shuffle_control
+from tallyspark.plans.more_queries import SHUFFLED, shuffle_sql
 from tallyspark.plans.queries import r6, register
 from tallyspark.sources import fixtures as X
 from tallyspark.sources.fixtures import with_sql
@@ -81,7 +82,11 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate_factors(_rows(spark, sf_dir), "year", "y", FACTORS, 3, 30)
 
 
-@register("m13_factor_null_control")
+_ORDERS = """o AS (SELECT o_orderkey AS id, year(o_orderdate) AS period, (o_totalprice > 200000 OR o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS y, o_totalprice / 1000 AS price, CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 31)::DOUBLE END AS gap FROM orders)"""
+_NULLS = " UNION ALL ".join(f"SELECT '{n}' AS factor, * FROM (WITH {_ORDERS}, f AS (SELECT id, period, y, {' * '.join(c)} AS p FROM o WHERE {' * '.join(c)} IS NOT NULL), {shuffle_sql('f', 10)} SELECT {SHUFFLED})" for n, c in FACTORS.items())
+
+
+@register("m13_factor_null_control", _NULLS)
 def factor_null_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of stored factor scores under labels shuffled inside each period."""
     rows = _rows(spark, sf_dir)
@@ -90,7 +95,7 @@ def factor_null_control(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = rows.withColumn("p", M.factor_value(inputs)).where("p is not null")
         row = shuffle_control(own, "id", "year", "y", "p", 10).withColumn("factor", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.withColumns(r6("mean", "p95", "most"))
 
 
 @register("m14_baseline_evidence", f"""{with_sql("scores")}, per AS (SELECT period, count(*) AS n, sum(y) AS pos FROM scores GROUP BY 1), past AS (SELECT a.period, count(*) AS k, sum(b.pos) / sum(b.n) AS rate FROM per a JOIN per b ON b.period < a.period GROUP BY 1 HAVING count(*) >= 4),

@@ -211,10 +211,22 @@ def label_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.groupBy("period").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.sum("shuffled").alias("shuffled_positives"))
 
 
-@register("m10_shuffle_control")
+def shuffle_sql(rows: str, shuffles: int) -> str:
+    """CTEs up to auc (shuffle, period, auc): labels of rows (id, period, y, p) permuted inside their periods, and the AUC of each."""
+    return f"""sp AS (SELECT *, t.i AS shuffle FROM {rows}, range({shuffles}) t(i)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY shuffle, period ORDER BY md5(id || ':' || shuffle || ':row')) AS a, row_number() OVER (PARTITION BY shuffle, period ORDER BY md5(id || ':' || shuffle || ':label')) AS b FROM sp),
+mx AS (SELECT x.shuffle, x.period, x.p, z.y FROM rk x JOIN rk z ON x.shuffle = z.shuffle AND x.period = z.period AND x.a = z.b),
+ds AS (SELECT shuffle, period, p, sum(y) AS pos, count(*) AS n FROM mx GROUP BY ALL), dr AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY shuffle, period ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM ds),
+auc AS (SELECT shuffle, period, (sum(pos * r) - sum(pos) * (sum(pos) + 1) / 2) / nullif(sum(pos) * (sum(n) - sum(pos)), 0) AS auc FROM dr GROUP BY ALL), sh AS (SELECT shuffle, avg(auc) AS auc FROM auc GROUP BY 1)"""
+
+
+SHUFFLED = "count(*) AS shuffles, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.95), 6) AS p95, round(max(auc), 6) AS most FROM sh"
+
+
+@register("m10_shuffle_control", f"{_SCORES}, {shuffle_sql('scores', 20)} SELECT {SHUFFLED}")
 def shuffle_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro AUC under shuffles of the labels (a hash of the id orders each shuffle, so SQL has no twin)."""
-    return evaluation.shuffle_control(X.scores(spark, sf_dir), "id", "period", "y", "p", 20)
+    """Macro AUC under shuffles of the labels inside their periods."""
+    return evaluation.shuffle_control(X.scores(spark, sf_dir), "id", "period", "y", "p", 20).withColumns(r6("mean", "p95", "most"))
 
 
 @register("m15_threshold_policy", f"{_SCORES}, {_AUC_BY} SELECT period, CASE WHEN auc >= 0.45 AND n <= 2000 THEN 'PASS' ELSE 'FAIL' END AS status, concat_ws(',', CASE WHEN auc IS NULL THEN 'auc_missing' END, CASE WHEN auc < 0.45 THEN 'auc_low' END, CASE WHEN n > 2000 THEN 'n_high' END) AS reasons FROM a")
