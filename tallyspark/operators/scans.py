@@ -27,17 +27,17 @@ def two_level(rows: DataFrame, key: list[str], block: Column, order: list[str],
     inclusive a row's own value is left out. Null keys are one key.
     """
     # one struct as the key: nulls in it are equal, and the join leaves rows dealt out as the window needs them
-    rows = rows.withColumn("_key", F.struct(*key, block.alias("_block"))).withColumns({f"_x_{n}": c for n, (_, c) in values.items()})
+    rows = rows.withColumn("_scan_key", F.struct(*key, block.alias("_block"))).withColumns({f"_x_{n}": c for n, (_, c) in values.items()})
     at = F.struct(*order)
     whole = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))}
     over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(b, a)}
-    blocks = rows.groupBy("_key").agg(*[whole[kind](f"_x_{n}").alias(f"_b_{n}") for n, (kind, _) in values.items()])
-    past = Window.partitionBy(*[F.col("_key")[k] for k in key]).orderBy(F.col("_key")["_block"]).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("_key").alias("_of"), *[over[kind](f"_b_{n}").over(past).alias(f"_c_{n}") for n, (kind, _) in values.items()])
-    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = rows.join(blocks, F.col("_key") == F.col("_of")).withColumns({n: both[kind](F.col(f"_c_{n}"), over[kind](f"_x_{n}").over(inside)) for n, (kind, _) in values.items()})
-    return out.drop("_key", "_of", *[f"_{p}_{n}" for n in values for p in "xc"])
+    blocks = rows.groupBy("_scan_key").agg(*[whole[kind](f"_x_{n}").alias(f"_b_{n}") for n, (kind, _) in values.items()])
+    past = Window.partitionBy(*[F.col("_scan_key")[k] for k in key]).orderBy(F.col("_scan_key")["_block"]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_scan_key").alias("_scan_of"), *[over[kind](f"_b_{n}").over(past).alias(f"_c_{n}") for n, (kind, _) in values.items()])
+    inside = Window.partitionBy("_scan_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = rows.join(blocks, F.col("_scan_key") == F.col("_scan_of")).withColumns({n: both[kind](F.col(f"_c_{n}"), over[kind](f"_x_{n}").over(inside)) for n, (kind, _) in values.items()})
+    return out.drop("_scan_key", "_scan_of", *[f"_{p}_{n}" for n in values for p in "xc"])
 
 
 def time_block(ms: str | Column, block_ms: int = DAY_MS) -> Column:
