@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tallyspark.sources.files import written
+
 #: Length of a time block unless told otherwise.
 DAY_MS = 86_400_000
 
@@ -59,6 +61,7 @@ def settled_positions(fills: DataFrame, key: str, order: list[str], block_ms: in
     """fills with before (the position that a fill meets, if no sale is left out) and clean (no sale of its key exceeds what is held)."""
     signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
     rows = two_level(fills, [key], time_block(order[0], block_ms), order, {"_after": ("sum", signed)}).withColumn("before", F.col("_after") - signed)
+    rows = written(rows, "positions")  # read for the lowest positions, and for each way to settle them
     low = rows.groupBy(F.col(key).alias("_k")).agg((F.min("_after") >= -1e-9).alias("clean"))
     return rows.join(low, F.col(key).eqNullSafe(F.col("_k"))).drop("_k", "_after")
 
