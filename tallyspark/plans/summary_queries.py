@@ -104,14 +104,14 @@ def distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.distribution_summary(e, ["value", "inverse"], ["event_type", "part"]).withColumns(r6("mean", "std", "p01", "p05", "median", "p95", "p99"))
 
 
-@register("g12_provenance_failures", f"""{with_sql("ev")}, p AS (SELECT event_id::VARCHAR AS condition_id, event_type AS feature, CASE WHEN k % 4 = 0 THEN 'phase1_truth' WHEN k % 4 = 1 THEN 'polymarket' ELSE 'binance' END AS source_type, CASE WHEN k % 10 <> 0 THEN ms + k % 7 * 1000 END AS source_max_ms, ms + 2000 AS cutoff_ms, ms + 4000 AS prediction_ms FROM ev)
-SELECT condition_id, feature, source_type, source_max_ms, CASE WHEN source_type = 'phase1_truth' THEN prediction_ms ELSE cutoff_ms END AS limit_ms FROM p WHERE source_max_ms > CASE WHEN source_type = 'phase1_truth' THEN prediction_ms ELSE cutoff_ms END""")
+@register("g12_provenance_failures", f"""{with_sql("ev")}, p AS (SELECT event_id::VARCHAR AS condition_id, event_type AS feature, CASE WHEN k % 4 = 0 THEN 'truth' WHEN k % 4 = 1 THEN 'book' ELSE 'ticks' END AS source_type, CASE WHEN k % 10 <> 0 THEN ms + k % 7 * 1000 END AS source_max_ms, ms + 2000 AS cutoff_ms, ms + 4000 AS prediction_ms FROM ev)
+SELECT condition_id, feature, source_type, source_max_ms, CASE WHEN source_type = 'truth' THEN prediction_ms ELSE cutoff_ms END AS limit_ms FROM p WHERE source_max_ms > CASE WHEN source_type = 'truth' THEN prediction_ms ELSE cutoff_ms END""")
 def provenance_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources later than the cutoff, or than the prediction where they are known by it."""
     k = F.col("k")
-    source = F.when(k % 4 == 0, "phase1_truth").when(k % 4 == 1, "polymarket").otherwise("binance")
+    source = F.when(k % 4 == 0, "truth").when(k % 4 == 1, "book").otherwise("ticks")
     rows = X.events(spark, sf_dir).select(F.col("event_id").cast("string").alias("condition_id"), F.col("event_type").alias("feature"), source.alias("source_type"), F.when(k % 10 != 0, F.col("ms") + k % 7 * 1000).alias("source_max_ms"), (F.col("ms") + 2000).alias("cutoff_ms"), (F.col("ms") + 4000).alias("prediction_ms"))
-    return M.provenance_failures(rows, ["binance", "polymarket"])
+    return M.provenance_failures(rows, ["ticks", "book"])
 
 
 @register("f14_window_operations", f"""{with_sql("ev", "sessions")}, b AS (SELECT min(timestamp_ms) + {3 * HOUR} AS lo, max(timestamp_ms) - {5 * HOUR} AS hi FROM sessions), o AS (SELECT s.* FROM sessions s, b WHERE timestamp_ms BETWEEN lo AND hi),
