@@ -14,7 +14,7 @@ WIDTH, CONTEXT, SCORED = 16, 32, 16
 #: Ranks below the first number lie in classes of the second size.
 BANDS = ((32, 1), (512, 64), (4096, 256), (16384, 1024), (1 << 31, 4096))
 #: Learning rates of shared weights (Adam) and of rows of single ids (Adagrad), and windows of a step.
-RATE, ROW_RATE, BATCH = 0.01, 0.05, 256
+RATE, ROW_RATE, BATCH = 0.01, 0.2, 128
 
 
 def class_edges(size: int) -> np.ndarray:

@@ -3,8 +3,8 @@
 A word is the pieces that a public tokenizer gives it, the last one marked as final; a word that its
 pieces do not spell exactly (the tokenizer folds case and composes marks) is its bytes instead. One end
 id closes a text. So a text is one sequence of ids, no two texts share one, and ids depend on no corpus.
-The model (attention.py) starts from the counts of all ids of all training texts, is fitted on a share of
-the windows of all training texts, and scores every id of a text once, in overlapping windows.
+The model (attention.py) starts from the counts of all ids of all training texts, is fitted on all windows
+of all training texts, and scores every id of a text once, in overlapping windows.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from tallyspark.llm.packing import token_bytes
 
 #: Words whose counts every task holds (the most frequent); the counts of others are looked up by a join, with the same result.
 HELD_WORDS = 1 << 18
-#: Share of the windows of all training texts that the model is fitted on (at least LEAST_WINDOWS of them), and passes over these.
-FIT_SHARE, LEAST_WINDOWS, ROUNDS = 1 / 32, 1 << 15, 4
+#: Rounds of fitting. All of them together fit every window once; where that is less than LEAST_WINDOWS, up to ROUNDS times.
+ROUNDS, LEAST_WINDOWS = 4, 1 << 18
 #: Windows fitted in one stream, and most streams side by side: beyond, each becomes longer.
-PART_WINDOWS, MOST_PARTS = 40_000, 1000
+PART_WINDOWS, MOST_PARTS = 80_000, 1000
+#: Windows of a text that are dealt together, and windows of a stream whose order is mixed.
+DEALT_TOGETHER, MIXED_TOGETHER = 64, 1 << 14
 #: Ids whose weights travel together to the mean of all streams.
 ROW_BLOCK = 1024
 #: Words counted together in a task, and words whose ids a task remembers.
@@ -155,24 +157,43 @@ def _id_counts(size: int):
     return count
 
 
-def _chosen(share: float, start: int):
-    """(key, x): some windows of training texts, CONTEXT inputs and SCORED targets as 32-bit ids; copies of a text choose alike."""
-    below = np.uint64(min(int(share * 2**64), 2**64 - 1))
+def passes(n_windows: int) -> int:
+    """How often every window is fitted."""
+    return max(1, min(ROUNDS, -(-LEAST_WINDOWS // max(n_windows, 1))))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _dealt(parts: int, number: int, times: int):
+    """(part, key, skip, x): pieces of texts as 32-bit ids, those of round `number`; over all rounds each piece comes `times` times.
+
+    A piece holds DEALT_TOGETHER windows, after the ids that these look back on (their windows are skipped).
+    """
+    step = 4 * SCORED * DEALT_TOGETHER
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first = streams_of(batch.column("ids"))
-            count = window_counts(first)
-            text = np.repeat(np.arange(len(count)), count)
+            data = batch.column("ids").to_pylist()
+            count = np.array([-(-len(d) // step) for d in data], np.int64)
+            text = np.repeat(np.arange(len(data)), count)
             k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            h = batch.column("h").to_numpy().view(np.uint64)[text]
-            key = mix(h ^ mix(k.astype(np.uint64) + np.uint64(1)))
-            at = np.flatnonzero(mix(key + np.uint64(7)) <= below)
-            x, target = windows(ids, first, text[at], k[at], start)
-            both = np.concatenate([x, np.where(target >= 0, ids[np.maximum(target, 0)], start + 1)], axis=1).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array([b.tobytes() for b in both], pa.binary())], names=["key", "x"])
+            key = mix(mix(batch.column("row").to_numpy().view(np.uint64)[text] + np.uint64(1)) ^ k.astype(np.uint64))
+            at = np.flatnonzero(((key % np.uint64(ROUNDS)).astype(np.int64) - number * times) % ROUNDS < times)
+            x = [data[t][max(0, c * step - 4 * CONTEXT) : (c + 1) * step] for t, c in zip(text[at].tolist(), k[at].tolist(), strict=True)]
+            part = (mix(key[at] + np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+            skip = np.where(k[at] > 0, CONTEXT // SCORED, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key[at].view(np.int64)), pa.array(skip), pa.array(x, pa.binary())], names=["part", "key", "skip", "x"])
+
+    return deal
+
 
-    return choose
+def _windows_of(pieces: pa.Array, skip: np.ndarray, rank: np.ndarray, start: int) -> np.ndarray:
+    """Windows of pieces as ranks: CONTEXT inputs, then SCORED targets with start + 1 beyond the text."""
+    ids, first = streams_of(pieces)
+    ids = rank[ids]
+    count = window_counts(first) - skip
+    piece = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + skip[piece]
+    x, target = windows(ids, first, piece, k, start)
+    return np.concatenate([x, np.where(target >= 0, ids[np.maximum(target, 0)], start + 1)], axis=1).astype(np.int32)
 
 
 def _fit_parts(shared, rate: float):
@@ -194,36 +215,39 @@ def _fit_parts(shared, rate: float):
         return pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array([float(n)] * len(block)), pa.array(rows, pa.binary()), pa.array(data, pa.binary())], names=["part", "block", "n", "rows", "data"])
 
     def fit_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rank, part, held = shared.value[0], shared.value[1], None, []
+        first, rank = shared.value
+        part, held = None, []
         for batch in batches:
-            parts = batch.column("part").to_numpy()
-            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), "<u4").reshape(-1, CONTEXT + SCORED)
+            parts, skip = batch.column("part").to_numpy(), batch.column("skip").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 if parts[a] != part:
                     if part is not None:
-                        _steps(step, net, rank, held, True)
+                        _steps(step, net, order, held, True)
                         yield changes(part, net, first.p, n)
                     part, n, held = int(parts[a]), 0, []
-                    net = first.copy()
+                    net, order = first.copy(), np.random.default_rng(part)
                     step = net.learner(rate)
-                held.append(x[a:b])
-                n += b - a
-                held = _steps(step, net, rank, held, False)
+                for c in range(a, b, 256):
+                    held.append(_windows_of(batch.column("x").slice(c, min(256, b - c)), skip[c : min(b, c + 256)], rank, net.start))
+                    n += len(held[-1])
+                    if sum(map(len, held)) >= MIXED_TOGETHER:
+                        held = _steps(step, net, order, held, False)
         if part is not None:
-            _steps(step, net, rank, held, True)
+            _steps(step, net, order, held, True)
             yield changes(part, net, first.p, n)
 
     return fit_parts
 
 
-def _steps(step, net: Attention, rank: np.ndarray, held: list[np.ndarray], last: bool) -> list[np.ndarray]:
-    """Steps on all full batches of the windows held, at last on the rest too; what is left."""
-    rows = np.concatenate(held) if held else np.zeros((0, CONTEXT + SCORED), np.uint32)
+def _steps(step, net: Attention, order: np.random.Generator, held: list[np.ndarray], last: bool) -> list[np.ndarray]:
+    """Steps on all full batches of the windows held, in mixed order, at last on the rest too; what is left."""
+    rows = np.concatenate(held) if held else np.zeros((0, CONTEXT + SCORED), np.int32)
+    rows = rows[order.permutation(len(rows))]
     while len(rows) >= BATCH or (last and len(rows)):
-        some, rows = rank[rows[:BATCH]], rows[BATCH:]
+        some, rows = rows[:BATCH], rows[BATCH:]
         target = some[:, CONTEXT:]
         step(some[:, :CONTEXT], np.minimum(target, net.size - 1), (target < net.size).astype(np.float32))
     return [rows]
@@ -251,25 +275,24 @@ def _mean(width: int):
 
 
 def fit(texts: DataFrame, counts: np.ndarray, n_windows: int, seed: int = 0) -> tuple[Attention, np.ndarray]:
-    """The model and the rank of every id, from the training texts (h, ids) and the counts of all their ids.
+    """The model and the rank of every id, from the training texts (row, ids) and the counts of all their ids.
 
-    A share of all their windows is dealt to parts. In each round every part goes on from the shared
-    model in mini-batches of its own stream, and Spark forms the mean of what the parts changed; the
-    driver gets one model a round, whatever the input.
+    Every window of every text is fitted. Each round deals its share of them to parts; every part goes on
+    from the shared model in mini-batches of its own stream, and Spark forms the mean of what the parts
+    changed; the driver gets one model a round, whatever the input. Copies of a text count as often as they occur.
     """
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(counts) + 2, np.int64)
     rank[order] = np.arange(len(counts))
     rank[len(counts) :] = len(counts), len(counts) + 1
     net = Attention(counts[order] + 0.5, seed)
-    share = min(1.0, max(FIT_SHARE, LEAST_WINDOWS / max(n_windows, 1)))
-    parts = min(MOST_PARTS, max(1, round(share * n_windows / PART_WINDOWS)))
-    some = texts.select("h", "ids").mapInArrow(_chosen(share, len(counts)), "key long, x binary").dropDuplicates(["key"])
-    some = materialize(some.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "key", "x"), "windows")
-    some = some.repartition(parts, "part").sortWithinPartitions("part", "key")
+    times = passes(n_windows)
+    parts = min(MOST_PARTS, max(1, round(times * n_windows / PART_WINDOWS)))
     width = 2 * net.p["emb"].shape[1] + 1
     for k in range(ROUNDS):
         shared = texts.sparkSession.sparkContext.broadcast((net, rank))
+        some = texts.select("row", "ids").mapInArrow(_dealt(parts, k, times), "part int, key long, skip int, x binary")
+        some = some.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key")
         moved = some.mapInArrow(_fit_parts(shared, 1 - k / ROUNDS), "part long, block long, n double, rows binary, data binary")
         for r in moved.groupBy("block").applyInPandas(_mean(width), "block long, rows binary, data binary").toLocalIterator():
             net.change(np.frombuffer(r["rows"], "<u4"), np.frombuffer(r["data"], "<f4"))
@@ -366,7 +389,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str, seed: int = 0) -> DataFram
     found = trains.select("ids").mapInArrow(_id_counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
-    model = docs.sparkSession.sparkContext.broadcast(fit(trains.where("n_tokens > 1"), counts, n_windows, seed))
+    model = docs.sparkSession.sparkContext.broadcast(fit(trains, counts, n_windows, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, rank = model.value
