@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -248,18 +250,59 @@ def test_lm_scores_do_not_depend_on_what_is_held(spark, monkeypatch):
     assert few[0] == few[1]
 
 
+def test_lm_fits_every_window_of_every_text(monkeypatch):
+    """Pieces dealt over all rounds hold each window of each text as often as passes says, as it stands in the whole text."""
+    from tallyspark.llm import lm_scoring as L
+
+    rng = np.random.default_rng(3)
+    lengths = [1, 2, 15, 16, 17, 1023, 1024, 1025, 1056, 5000, 40_000]
+    texts = [rng.integers(0, 500, n).astype("<u4") for n in lengths]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts)) + (7 << 40)), pa.array([t.tobytes() for t in texts], pa.binary())], names=["row", "ids"])
+    ids, first = L.streams_of(batch.column("ids"))
+    count = L.window_counts(first)
+    text = np.repeat(np.arange(len(count)), count)
+    x, target = L.windows(ids, first, text, np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count), 500)
+    want = Counter(r.tobytes() for r in np.concatenate([x, np.where(target >= 0, ids[np.maximum(target, 0)], 501)], axis=1).astype(np.int32))
+    for times in (1, 2, 3, 4):
+        got, parts = Counter(), set()
+        for k in range(L.ROUNDS):
+            for b in L._dealt(5, k, times)([batch]):
+                got.update(r.tobytes() for r in L._windows_of(b.column("x"), b.column("skip").to_numpy(), np.arange(502), 500))
+                parts |= set(b.column("part").to_pylist())
+        assert got == Counter({w: n * times for w, n in want.items()}) and parts == set(range(5))
+    assert [L.passes(n) for n in (0, 1, L.LEAST_WINDOWS // 3, L.LEAST_WINDOWS, 1 << 40)] == [4, 4, 4, 1, 1]
+
+
 def test_lm_parts_learn_from_their_mean(spark, monkeypatch):
     """Many parts give a model that scores held-out texts better than the counts of ids alone, which no fit leaves."""
     from tallyspark.llm import lm_scoring as L
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     total = lambda: sum(r["score"] for r in score_texts(docs, tokenizer_path()).where("held_out").collect())
-    monkeypatch.setattr(L, "PART_WINDOWS", 2000)
+    monkeypatch.setattr(L, "PART_WINDOWS", 10_000)
     fitted = total()
     monkeypatch.setattr(L, "ROUNDS", 0)
     assert fitted > 0.95 * total()  # both are negative
 
 
+def test_lm_scores_held_out_texts_above_their_base(spark):
+    """On 1,000 documents held-out texts get more than their unigram base, and that base is a plain count's."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    got = QUERIES["op2_lm_scoring"](spark, folder).toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.5
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    texts = {r["doc_id"]: (r["text"] or "").encode().translate(lower) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    words = {d: [w for w in re.split(rb"[\x20\x09-\x0D]+", t) if w] + [None] for d, t in texts.items()}
+    counts = Counter(w for d, ws in words.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(words)
+    for r in got.itertuples():
+        ws = words[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in counts for w in ws), n)
+        assert abs(r.base_score - sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6 * len(ws)
+
+
 def test_whole_licences_and_headers(spark):
     """Full texts and headers are named with and without titles and tags; an opening that two licences share decides nothing alone."""
     full = {}
