@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.scans import anchored_regimes, recent_rate
+from tallyspark.operators.scans import anchored_regimes, recent_rate, two_level
+from tallyspark.sources.files import written
 
 
 def vote_agreement(rows: DataFrame, key: str, views: list[str]) -> DataFrame:
@@ -48,20 +49,21 @@ def market_bootstrap(rows: DataFrame, key: str, value: str, replicates: int, lea
     """n, mean, low, high, positive: markets resampled with replacement; the 2.5 and 97.5 percentiles of the means and the share of positive ones.
 
     Draw i of replicate b takes market (b * 1103515245 + i * 12345 + b * i * 40503) mod 2147483647 mod n, a rule that needs no state.
-    Fewer than `least` markets give nulls. One row per market goes in; its draws are spread over the cluster.
+    Fewer than `least` markets give nulls. One row per market goes in, numbered in stretches of the key; draws are a range
+    of replicates x n numbers, whose size Spark knows, so that it broadcasts no side that is too large for it.
     """
-    numbered = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
-    n = numbered.count()
+    markets = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
+    markets = written(markets.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "markets")
+    n = markets.count()
     if n < least:
-        return rows.agg(F.lit(n).cast("long").alias("n"), F.avg(value).alias("mean"), *[F.lit(None).cast("double").alias(c) for c in ("low", "high", "positive")])
-    numbered = numbered.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    spark = rows.sparkSession
-    draws = spark.range(replicates).select(F.col("id").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d"))
+        return markets.agg(F.lit(n).cast("long").alias("n"), F.avg("_v").alias("mean"), *[F.lit(None).cast("double").alias(c) for c in ("low", "high", "positive")])
+    numbered = two_level(markets, [], F.col("_part"), [key], {"_n": ("sum", F.lit(1))}).select((F.col("_n") - 1).alias("_i"), "_v")
+    draws = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("_b"), (F.col("id") % n).alias("_d"))
     at = (F.col("_b") * 1103515245 + F.col("_d") * 12345 + F.col("_b") * F.col("_d") * 40503) % 2147483647 % n
-    means = draws.select("_b", at.cast("int").alias("_i")).join(numbered, "_i").groupBy("_b").agg(F.avg("_v").alias("m"))
+    means = draws.select("_b", at.alias("_i")).join(numbered, "_i").groupBy("_b").agg(F.avg("_v").alias("m"))
     p = lambda s: F.percentile("m", F.lit(s))
     out = means.agg(p(0.025).alias("low"), p(0.975).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("positive"))
-    return numbered.agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).crossJoin(F.broadcast(out))
+    return markets.agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).crossJoin(F.broadcast(out))
 
 
 def source_ordering(sources: DataFrame) -> DataFrame:
