@@ -1,4 +1,7 @@
-"""Regular grids over event streams and lead-lag measures on them."""
+"""Regular grids over event streams and lead-lag measures on them.
+
+A grid's steps and lags are exploded, which the planner's sizes leave out: joins of them are hinted to merge, never to broadcast.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +41,7 @@ def response_curve(features: DataFrame, key: str, shock_bp: str, horizons: list[
     shocks = features.where(F.abs(F.col(shock_bp)) >= least_bp).select(key, "i", "shock", F.signum(shock_bp).alias("sign"), F.col("mid").alias("mid0"))
     shocks = shocks.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("j", F.col("i") + F.col("horizon"))
     later = features.select(key, F.col("i").alias("j"), F.col("mid").alias("mid1"))
-    met = shocks.join(later, [key, "j"]).withColumn("response", F.col("sign") * (F.col("mid1") - F.col("mid0"))).where("response is not null")
+    met = shocks.join(later.hint("merge"), [key, "j"]).withColumn("response", F.col("sign") * (F.col("mid1") - F.col("mid0"))).where("response is not null")
     return met.groupBy("shock", "horizon").agg(F.count("*").alias("n"), F.avg("response").alias("mean"), F.percentile("response", F.lit(0.5)).alias("median"))
 
 
@@ -47,7 +50,7 @@ def cross_correlation(features: DataFrame, key: str, lags: list[int]) -> DataFra
     by = Window.partitionBy(key).orderBy("i")
     moves = features.select(key, "i", (F.col("price") / F.lag("price", 1).over(by) - 1).alias("dx"), (F.col("mid") - F.lag("mid", 1).over(by)).alias("dy"))
     left = moves.select(key, "dx", F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"), "i").withColumn("j", F.col("i") + F.col("lag"))
-    met = left.join(moves.select(key, F.col("i").alias("j"), "dy"), [key, "j"]).where("dx is not null and dy is not null")
+    met = left.join(moves.select(key, F.col("i").alias("j"), "dy").hint("merge"), [key, "j"]).where("dx is not null and dy is not null")
     return met.groupBy(key, "lag").agg(F.count("*").alias("n"), F.when(F.count("*") > 2, F.corr("dx", "dy")).alias("corr"))
 
 
@@ -56,7 +59,7 @@ def lagged_regression(features: DataFrame, key: str, lags: list[int], horizon: i
     by = Window.partitionBy(key).orderBy("i")
     x = features.select(key, "i", (F.col("price") / F.lag("price", 1).over(by) - 1).alias("x"), (F.lead("mid", horizon).over(by) - F.col("mid")).alias("y"))
     left = x.select(key, "x", F.explode(F.array(*[F.lit(v) for v in lags])).alias("lag"), "i").withColumn("j", F.col("i") + F.col("lag"))
-    met = left.join(x.select(key, F.col("i").alias("j"), "y"), [key, "j"]).where("x is not null and y is not null")
+    met = left.join(x.select(key, F.col("i").alias("j"), "y").hint("merge"), [key, "j"]).where("x is not null and y is not null")
     return met.groupBy("lag").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), F.regr_r2("y", "x").alias("r2"))
 
 

@@ -38,7 +38,8 @@ def two_level(rows: DataFrame, key: list[str], block: Column, order: list[str],
     past = Window.partitionBy(*[F.col("_scan_key")[k] for k in key]).orderBy(F.col("_scan_key")["_block"]).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("_scan_key").alias("_scan_of"), *[over[kind](f"_b_{n}").over(past).alias(f"_c_{n}") for n, (kind, _) in values.items()])
     inside = Window.partitionBy("_scan_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = rows.join(blocks, F.col("_scan_key") == F.col("_scan_of")).withColumns({n: both[kind](F.col(f"_c_{n}"), over[kind](f"_x_{n}").over(inside)) for n, (kind, _) in values.items()})
+    # rows that come from an explode look small to the planner; without the hint it may broadcast all of them
+    out = rows.join(blocks.hint("merge"), F.col("_scan_key") == F.col("_scan_of")).withColumns({n: both[kind](F.col(f"_c_{n}"), over[kind](f"_x_{n}").over(inside)) for n, (kind, _) in values.items()})
     return out.drop("_scan_key", "_scan_of", *[f"_{p}_{n}" for n in values for p in "xc"])
 
 
