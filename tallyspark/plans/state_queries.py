@@ -88,8 +88,8 @@ SELECT start_ms, count(*) AS n, quantile_disc(d, 0.5) AS median, quantile_disc(d
 FROM w GROUP BY 1 HAVING start_ms + {72 * HOUR} <= (SELECT max(ms) FROM ev)""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of receive delays over three-day windows that move by a day, and windows of a skewed clock."""
-    rows = X.events(spark, sf_dir).select("event_id", F.timestamp_millis("ms").alias("at"), (F.col("k") - 4).alias("delay"))
-    out = _appended(spark, rows, "event_id", lambda s: S.delay_percentiles(s, "at", "delay", "3 days", "1 day", "0 seconds"))
+    rows = X.events(spark, sf_dir).select("ms", F.timestamp_millis("ms").alias("at"), (F.col("k") - 4).alias("delay"))
+    out = _appended(spark, rows, "ms", lambda s: S.delay_percentiles(s, "at", "delay", "3 days", "1 day", "0 seconds"))
     return out.select(F.unix_millis("start").alias("start_ms"), "n", "median", "p95", "p99", "most", F.round("negative", 6).alias("negative"), "status")
 
 
@@ -97,7 +97,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, last_ms, last_ms + {48 * HOUR} + 1 AS stale_ms FROM l WHERE following - last_ms > {48 * HOUR} OR following IS NULL AND last_ms + {48 * HOUR} + 1 <= (SELECT max(ms) FROM ev)""")
 def stream_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silences of more than two days per user, those without any later event too, by timers of a stream."""
-    return _appended(spark, X.events(spark, sf_dir).select("event_id", "user_id", "ms"), "event_id", lambda s: S.stale_feeds(s, "user_id", "ms", 48 * HOUR))
+    return _appended(spark, X.events(spark, sf_dir).select("event_id", "user_id", "ms"), "ms", lambda s: S.stale_feeds(s, "user_id", "ms", 48 * HOUR))
 
 
 @register("t11_prospective_refresh", ORACLES["e07_event_ledger"])
