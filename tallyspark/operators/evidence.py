@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.scans import anchored_regimes, recent_rate, two_level
-from tallyspark.sources.files import written
+from tallyspark.sources.files import dealt, written
 
 
 def vote_agreement(rows: DataFrame, key: str, views: list[str]) -> DataFrame:
@@ -147,11 +147,13 @@ def venue_evidence(events: DataFrame, run: str, order: str) -> DataFrame:
     events: run, order, seq, event_id, venue_ts_ms, receive_ms, quantity, cumulative.
     """
     by = Window.partitionBy(order).orderBy("seq")
-    ids = events.groupBy(run, "event_id").count().where("event_id is not null and count > 1").select(run).distinct().withColumn("_dup", F.lit(True))
     marked = events.withColumn("_back", F.col("receive_ms") < F.lag("receive_ms").over(by)).withColumn("_sum", F.sum("quantity").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    per = marked.groupBy(run).agg(
-        F.count("*").alias("events"), F.max("_back").alias("back"), F.max(F.col("venue_ts_ms").isNull()).alias("no_ts"), F.max(F.col("event_id").isNull()).alias("no_id"), F.max(F.abs(F.col("_sum") - F.col("cumulative")) > 1e-9).alias("sums"),
-    ).join(ids, run, "left")
+    marked = marked.select(run, "event_id", "_back", F.col("venue_ts_ms").isNull().alias("_no_ts"), (F.abs(F.col("_sum") - F.col("cumulative")) > 1e-9).alias("_off"))
+    # dealt by run once, in tasks of bounded rows: ids are counted where their run is summed up
+    each = dealt(marked, events.count(), run).groupBy(run, "event_id").agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in ("_back", "_no_ts", "_off")])
+    per = each.groupBy(run).agg(
+        F.sum("_n").alias("events"), F.max(F.col("event_id").isNotNull() & (F.col("_n") > 1)).alias("_dup"), F.max("_back").alias("back"), F.max("_no_ts").alias("no_ts"), F.max(F.col("event_id").isNull()).alias("no_id"), F.max("_off").alias("sums"),
+    )
     names = {"_dup": "DUPLICATE_ID", "back": "RECEIVE_TIME_BACK", "no_ts": "VENUE_TIME_MISSING", "no_id": "ID_MISSING", "sums": "ACCOUNTING_MISMATCH"}
     return per.select(run, "events", F.array_compact(F.array(*[F.when(F.col(c), n) for c, n in names.items()])).alias("reasons"))
 

@@ -150,7 +150,8 @@ def provenance_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run, count(*) AS events, concat_ws(',', CASE WHEN bool_or(l_orderkey % 200 = 3 AND n = 2) THEN 'DUPLICATE_ID' END, CASE WHEN bool_or(l_orderkey % 240 = 6 AND n = 2) THEN 'RECEIVE_TIME_BACK' END, CASE WHEN bool_or(l_orderkey % 300 = 1) THEN 'VENUE_TIME_MISSING' END, CASE WHEN bool_or(l_orderkey % 320 = 2) THEN 'ID_MISSING' END, CASE WHEN bool_or(l_orderkey % 280 = 5 AND n = 1) THEN 'ACCOUNTING_MISMATCH' END) AS reasons FROM e GROUP BY 1""")
 def venue_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order events of runs of forty orders, damaged in five ways."""
-    li = X.table(spark, sf_dir, "lineitem")
+    li = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    li = files.dealt(li, li.count(), "l_orderkey")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")
     li = li.withColumn("n", F.row_number().over(by)).withColumn("total", F.sum("l_quantity").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     key, n, total = F.col("l_orderkey"), F.col("n"), F.col("total")

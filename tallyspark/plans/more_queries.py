@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import evaluation, grid, ledger, logs, stats
 from tallyspark.plans.queries import INTERVALS, r6, register
+from tallyspark.sources import files
 from tallyspark.sources import fixtures as X
 from tallyspark.sources.fixtures import HOUR, with_sql
 
@@ -292,7 +293,8 @@ def order_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey")
     q = F.col("l_quantity").cast("decimal(18,4)")
     total = F.sum(q).over(by.orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0))
-    e = X.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("seq"), F.col("l_linenumber").alias("ts_ms"), q.alias("fill_qty"), (total + F.when(F.col("l_orderkey") % 50 == 0, 1).otherwise(0)).alias("cumulative"), F.sum(q).over(by).alias("ordered"))
+    lines = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    e = files.dealt(lines, lines.count(), "l_orderkey").select("l_orderkey", F.col("l_linenumber").alias("seq"), F.col("l_linenumber").alias("ts_ms"), q.alias("fill_qty"), (total + F.when(F.col("l_orderkey") % 50 == 0, 1).otherwise(0)).alias("cumulative"), F.sum(q).over(by).alias("ordered"))
     return logs.order_audit(e.withColumn("remaining", F.col("ordered") - F.col("cumulative")), "l_orderkey", "seq")
 
 

@@ -33,6 +33,12 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str, per_task: int = 1 << 19) -> DataFrame:
+    """rows (n of them) dealt by keys over so many tasks that one holds about per_task rows, however large the table is."""
+    tasks = max(-(-n // per_task), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // (1 << 16))))
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One JSON object per line; blank lines are skipped, a malformed line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -46,3 +46,11 @@ def test_permuted_labels_are_not_broadcast_and_blocks_do_not_matter(spark):
     assert sum(r[3] for r in got if r[2] == 2 and r[1] is None) == rows.where("s is null and y = 1").count()
     assert evaluation.permuted_labels(rows.where("id < 0"), "id", "y", 2, ["s"]).count() == 0
     assert evaluation.permuted_labels(rows, "id", "y", 2, keep=["p"]).where("p = id / 3000").count() == 6000
+
+
+def test_tasks_rise_with_rows(spark):
+    from tallyspark.sources.files import dealt
+
+    rows = spark.range(3000)
+    assert dealt(rows, 3000, "id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    assert dealt(rows, 3000, "id", per_task=100).rdd.getNumPartitions() == 30
