@@ -13,6 +13,7 @@ from tallyspark.operators.temporal_joins import asof_backward
 from tallyspark.plans.queries import CUTS, DAYS, EPISODES, GAP, HORIZON, MARKETS, _cuts, _weeks, label_sql, r6, register
 from tallyspark.plans.raw_queries import CLOSED, _sidecars
 from tallyspark.operators import raw
+from tallyspark.sources import files
 from tallyspark.sources import fixtures as X
 from tallyspark.sources.fixtures import HOUR, with_sql
 
@@ -92,6 +93,7 @@ def _feature_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     cut = asof_backward(cut, ticks.select("feed", F.col("exchange_ms").alias("at"), "price", F.col("exchange_ms").alias("tick_ms"), "trade_id"), "feed", "at", ["price", "tick_ms"], ["trade_id"]).drop("age_ms")
     book = X.book(spark, sf_dir).where("book_state_valid").select(F.col("condition_id").alias("feed"), F.col("receive_ms").alias("at"), F.col("receive_ms").alias("book_ms"), "mid", "seq")
     cut = asof_backward(cut, book, "feed", "at", ["mid", "book_ms"], ["seq"]).drop("age_ms").join(flow, "condition_id", "left")
+    cut = files.written(cut, "cut")  # read for the rows and again for their source times
     features = {"tick_volume": F.round("volume", 6), "tick_flow": F.round("flow", 6), "last_price": F.round("price", 6), "last_mid": F.round("mid", 6)}
     rows = R.assemble(cut, features, ["tick_volume", "last_mid"], "cutoff_1")
     return rows, rows.join(cut.select("condition_id", "tick_ms", "book_ms"), "condition_id")
@@ -123,7 +125,7 @@ def feature_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT status, count(*) AS n FROM (SELECT CASE WHEN late THEN 'POINT_IN_TIME' WHEN p % 7 = 0 THEN 'TRUTH_TIMESTAMP' WHEN no_source THEN 'MISSING_SOURCE' ELSE 'PASS' END AS status FROM per) GROUP BY 1""")
 def lineage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage of the feature rows; books count as late within six hours, and every seventh truth time is off by one."""
-    p = _provenance(spark, sf_dir)
+    p = files.written(_provenance(spark, sf_dir), "provenance")  # read twice
     late = p.withColumn("source_timestamp_max_ms", F.when(F.col("source_type") == "book", F.col("source_timestamp_max_ms") + 6 * HOUR).otherwise(F.col("source_timestamp_max_ms")))
     truth = p.select("condition_id", (F.col("prediction_ts_ms") + (F.col("prediction_ts_ms") % 7 == 0).cast("long")).alias("t0_ms")).distinct()
     known = spark.createDataFrame([("ticks",), ("book",)], "source_type string")
