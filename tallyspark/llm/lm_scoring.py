@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.attention import BATCH, CONTEXT, SCORED, Attention, window_counts, windows
+from tallyspark.llm.attention import BATCH, CONTEXT, SCORED, Attention, keep_memory, padded_texts, window_counts, windows, windows_at  # noqa: F401  windows: what padded texts are held against in tests
 from tallyspark.llm.common import materialize
 from tallyspark.llm.hashing import mix, sub_batches, text_bytes, word_hashes, word_spans
 from tallyspark.llm.packing import token_bytes
@@ -36,6 +36,10 @@ DEALT_TOGETHER, MIXED_TOGETHER = 64, 1 << 14
 ROW_BLOCK = 1024
 #: Words counted together in a task, and words whose ids a task remembers.
 COUNTED_TOGETHER, REMEMBERED = 1 << 21, 400_000
+#: Marks that end a word; not the apostrophe, which contractions begin with.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stands between words that are encoded together.
+_BETWEEN = "\x01"
 #: Words, and tokens of the corpus, for each slice of the look-up.
 SLICE_WORDS, SLICE_TOKENS = 50_000, 4_000_000
 #: Windows scored together.
@@ -78,7 +82,10 @@ class Spelling:
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab()
+        self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        mark = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self._mark = mark if len(mark) == 1 else []
+        vocabulary = self._tokenizer.get_vocab()
         self.path, self.pieces = tokenizer_path, max(vocabulary.values()) + 1
         # Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,23 +97,58 @@ class Spelling:
         self.end = 2 * self.pieces + 512
         self.size = self.end + 1
         self._ids: dict[int, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
+        self._final: dict[bytes, bytes] = {}
+
+    def _parts_of(self, word: bytes) -> tuple[bytes, ...]:
+        """The word, or its stem and the marks behind it, which the tokenizer never joins to a letter or digit."""
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and (stem[-1:].isalnum() or (stem[-2:-1] == b"\xc3" and stem[-1:] not in (b"\x97", b"\xb7"))) and b"<|" not in word:
+            return stem, word[len(stem) :]
+        return (word,)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The tokenizer's ids of each text; many go in one call, told apart by a mark that is one id."""
+        if not self._mark:
+            return token_bytes(texts, self.path)
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and _BETWEEN not in t]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self._tokenizer.encode_batch_fast([f" {_BETWEEN} ".join([texts[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data = [-1, *np.flatnonzero(ids == self._mark[0]).tolist(), len(ids)], ids.tobytes()
+            for k, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                out[k] = data[4 * a + 4 : 4 * b]
+        others = sorted(set(range(len(texts))).difference(plain))
+        for k, data in zip(others, token_bytes([texts[k] for k in others], self.path), strict=True):
+            out[k] = data
+        return out
 
     def spell(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of words with A-Z lower-cased."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        data = token_bytes(texts, self.path)
-        ends = np.cumsum([len(d) for d in data], dtype=np.int64)
-        whole = np.frombuffer(b"".join(data), "<u4").copy()
-        whole[ends[np.diff(ends, prepend=0) > 0] // 4 - 1] += self.pieces
-        raw, cuts = whole.tobytes(), [0, *ends.tolist()]
-        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i, text in enumerate(texts):
-            if text.isascii() and text.isprintable():  # pieces spell printable ASCII exactly
-                continue
-            if not data[i] or b"".join([self.bytes[k] for k in np.frombuffer(data[i], "<u4").tolist()]) != words[i]:
-                ids = np.frombuffer(words[i], np.uint8).astype("<u4") + np.uint32(2 * self.pieces)
+        split = list(map(self._parts_of, words))
+        if len(self._parts) > REMEMBERED:
+            self._parts.clear()
+        new = list({part for parts in split for part in parts if part not in self._parts})
+        texts = [w.decode("utf-8", "replace") for w in new]
+        for part, text, data in zip(new, texts, self._encoded(texts), strict=True):
+            # Pieces spell printable ASCII exactly.
+            if not (text.isascii() and text.isprintable()) and b"".join([self.bytes[k] for k in np.frombuffer(data, "<u4").tolist()]) != part:
+                data = b""
+            self._parts[part] = data
+        out = []
+        for word, parts in zip(words, split, strict=True):
+            data = [self._parts[part] for part in parts]
+            if all(data):
+                whole = b"".join(data)
+                last = whole[-4:]
+                if last not in self._final:
+                    self._final[last] = (int.from_bytes(last, "little") + self.pieces).to_bytes(4, "little")
+                out.append(whole[:-4] + self._final[last])
+            else:
+                ids = np.frombuffer(word, np.uint8).astype("<u4") + np.uint32(2 * self.pieces)
                 ids[-1] += 256
-                out[i] = ids.tobytes()
+                out.append(ids.tobytes())
         return out
 
     def texts(self, column: pa.Array, tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -188,12 +230,10 @@ def _dealt(parts: int, number: int, times: int):
 def _windows_of(pieces: pa.Array, skip: np.ndarray, rank: np.ndarray, start: int) -> np.ndarray:
     """Windows of pieces as ranks: CONTEXT inputs, then SCORED targets with start + 1 beyond the text."""
     ids, first = streams_of(pieces)
-    ids = rank[ids]
-    count = window_counts(first) - skip
-    piece = np.repeat(np.arange(len(count)), count)
-    k = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + skip[piece]
-    x, target = windows(ids, first, piece, k, start)
-    return np.concatenate([x, np.where(target >= 0, ids[np.maximum(target, 0)], start + 1)], axis=1).astype(np.int32)
+    padded, places = padded_texts(rank[ids], first, start)
+    count = window_counts(first)
+    k = np.arange(len(places)) - np.repeat(np.cumsum(count) - count, count)
+    return np.concatenate(windows_at(padded, places[k >= np.repeat(skip, count)]), axis=1)
 
 
 def _fit_parts(shared, rate: float):
@@ -215,6 +255,7 @@ def _fit_parts(shared, rate: float):
         return pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int64()), pa.array(block, pa.int64()), pa.array([float(n)] * len(block)), pa.array(rows, pa.binary()), pa.array(data, pa.binary())], names=["part", "block", "n", "rows", "data"])
 
     def fit_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         first, rank = shared.value
         part, held = None, []
         for batch in batches:
@@ -332,6 +373,7 @@ def score_texts(docs: DataFrame, tokenizer_path: str, seed: int = 0) -> DataFram
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every row's ids and what held words add to its base score; and the other words, packed by slice."""
+        keep_memory()
         own, row, (held_tokens, held_n) = spelling(tokenizer_path), TaskContext.get().partitionId() << 40, shared.value
         held_base = base(held_n)
         names, types = ["doc_id", "held_out", "h", "row", "n_tokens", "n_known", "base", "n_ids", "ids", "slice", "data"], [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.binary()]
@@ -392,20 +434,19 @@ def score_texts(docs: DataFrame, tokenizer_path: str, seed: int = 0) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit(trains, counts, n_windows, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         net, rank = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids, first = streams_of(batch.column("ids"))
-                ids = rank[ids]
-                ends = np.cumsum(window_counts(first))
+                padded, places = padded_texts(rank[ids], first, net.start)
+                text = np.repeat(np.arange(batch.num_rows), window_counts(first))
                 out = np.zeros(batch.num_rows)
-                for i in range(0, int(ends[-1]), SCORED_TOGETHER):
-                    number = np.arange(i, min(i + SCORED_TOGETHER, int(ends[-1])))
-                    text = np.searchsorted(ends, number, "right")
-                    x, target = windows(ids, first, text, number - (ends[text] - window_counts(first)[text]), net.size)
-                    lp = net.target_log_probs(x, ids[np.maximum(target, 0)])
-                    out += np.bincount(text, weights=np.where(target >= 0, lp, 0).sum(axis=1, dtype=float), minlength=len(out))
+                for i in range(0, len(places), SCORED_TOGETHER):
+                    x, target = windows_at(padded, places[i : i + SCORED_TOGETHER])
+                    lp = net.target_log_probs(x, np.minimum(target, net.size - 1))
+                    out += np.bincount(text[i : i + SCORED_TOGETHER], weights=np.where(target < net.size, lp, 0).sum(axis=1, dtype=float), minlength=len(out))
                 kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out / math.log(10))], names=[*kept, "score"])
 

@@ -303,6 +303,48 @@ def test_lm_scores_held_out_texts_above_their_base(spark):
         assert abs(r.base_score - sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6 * len(ws)
 
 
+def test_lm_rare_ids_stand_behind_one_entry():
+    """Ids beyond TAIL cost the first softmax one entry, and all ids still add up to one."""
+    rng = np.random.default_rng(4)
+    size = 6000
+    net = A.Attention(np.sort(rng.integers(1, 100, size))[::-1] + 0.5)
+    assert net.p["head"].shape[1] == np.searchsorted(net.edges, 4096) + 1 < len(net.edges) - 1
+    net.p["out"] = rng.normal(0, 0.3, net.p["out"].shape).astype(np.float32)
+    x = rng.integers(0, size, (1, A.CONTEXT))
+    lp = [net.target_log_probs(x, np.arange(i, i + A.SCORED)[None])[0, 0] for i in range(0, size, A.SCORED)]
+    first = np.array([net.target_log_probs(x, np.full((1, A.SCORED), i))[0, 0] for i in range(size)])
+    assert np.allclose(lp, first[:: A.SCORED], atol=1e-4) and abs(np.exp(first.astype(float)).sum() - 1) < 1e-3
+    for i in range(60):
+        target = rng.integers(4096, size, (8, A.SCORED))
+        if i == 0:
+            before = net.target_log_probs(np.repeat(x, 8, axis=0), target).mean()
+            step, at = net.learner(), target
+        step(np.repeat(x, 8, axis=0), at, np.ones(at.shape, np.float32))
+    assert net.target_log_probs(np.repeat(x, 8, axis=0), at).mean() > before + 1
+
+
+def test_lm_words_share_the_spelling_of_their_stems(monkeypatch):
+    """Marks behind a word need no encoding of their own for each word, and ids are those of the whole word."""
+    from tallyspark.llm.lm_scoring import Spelling
+    from tallyspark.llm.packing import token_bytes
+
+    own, asked = Spelling(tokenizer_path()), []
+    encoded = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda texts: asked.extend(texts) or encoded(texts))
+    stems = [f"thr{a}nd{b}" for a in "aeiou" for b in "aeiou"] + ["caf\u00e9", "x1"]
+    words = [s + m for s in stems for m in ("", "***", "###", "%%%", ",&&&", "!!", "?")]
+    got = own.spell([w.encode() for w in words])
+    assert len(asked) == len(set(asked)) == len(stems) + 6
+    odd = ["don't", "'s", "a's.", "a'***", "\u00d7**", "<|endoftext|>", "a<|", "***", "a\x01b", "\u4e2d\u6587!", "e\u0301", "e\u0301!"]
+    for word, ids in zip(words + odd, got + own.spell([w.encode() for w in odd]), strict=True):
+        ids, plain = np.frombuffer(ids, "<u4").copy(), np.frombuffer(token_bytes([word], tokenizer_path())[0], "<u4")
+        last = ids[-1] - own.pieces
+        if b"".join(own.bytes[k] for k in plain) == word.encode():
+            assert [*ids[:-1], last] == plain.tolist()
+        else:
+            assert (ids[:-1] - 2 * own.pieces).tolist() + [ids[-1] - 2 * own.pieces - 256] == list(word.encode())
+
+
 def test_whole_licences_and_headers(spark):
     """Full texts and headers are named with and without titles and tags; an opening that two licences share decides nothing alone."""
     full = {}
