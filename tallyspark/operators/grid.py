@@ -46,12 +46,21 @@ def response_curve(features: DataFrame, key: str, shock_bp: str, horizons: list[
 
 
 def cross_correlation(features: DataFrame, key: str, lags: list[int]) -> DataFrame:
-    """Correlation of the price's change with the mid's change lag steps later, per key and lag; null for two pairs or fewer."""
+    """Correlation of the price's change with the mid's change lag steps later, per key and lag; null for two pairs or fewer, or where one side never changes.
+
+    A lag is a frame of one step, so that no lag is exploded or joined; a key's sums stay where its window was.
+    """
     by = Window.partitionBy(key).orderBy("i")
     moves = features.select(key, "i", (F.col("price") / F.lag("price", 1).over(by) - 1).alias("dx"), (F.col("mid") - F.lag("mid", 1).over(by)).alias("dy"))
-    left = moves.select(key, "dx", F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"), "i").withColumn("j", F.col("i") + F.col("lag"))
-    met = left.join(moves.select(key, F.col("i").alias("j"), "dy").hint("merge"), [key, "j"]).where("dx is not null and dy is not null")
-    return met.groupBy(key, "lag").agg(F.count("*").alias("n"), F.when(F.count("*") > 2, F.corr("dx", "dy")).alias("corr"))
+    later = moves.select(key, "dx", *[F.first("dy").over(by.rangeBetween(x, x)).alias(f"_y{k}") for k, x in enumerate(lags)])
+    sums = []
+    for k in range(len(lags)):
+        y, x = F.when(F.col("dx").isNotNull(), F.col(f"_y{k}")), F.when(F.col(f"_y{k}").isNotNull(), F.col("dx"))
+        # corr() divides by zero where a side is constant; least and greatest tell that without rounding
+        varies = (F.count(y) > 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        sums += [F.count(y).alias(f"_n{k}"), F.when(varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias(f"_c{k}")]
+    each = F.inline(F.array(*[F.struct(F.lit(x).alias("lag"), F.col(f"_n{k}").alias("n"), F.col(f"_c{k}").alias("corr")) for k, x in enumerate(lags)]))
+    return later.groupBy(key).agg(*sums).select(key, each).where("n > 0")
 
 
 def lagged_regression(features: DataFrame, key: str, lags: list[int], horizon: int) -> DataFrame:
